@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ambry.functions.text import words
+from ambry.functions.text import tokens, words
 
 CHUNK_WORDS = 200
 OVERLAP_WORDS = 30
@@ -42,11 +42,21 @@ def window_at(word_list: Column, index: Column, size: int = CHUNK_WORDS,
     return F.array_join(F.slice(word_list, index * (size - overlap) + 1, F.lit(size)), " ")
 
 
-def chunk(docs: DataFrame, *keep: str, size: int = CHUNK_WORDS,
-          overlap: int = OVERLAP_WORDS) -> DataFrame:
-    """Passages (doc_id, keep..., chunk_index, content) of whole texts; no shuffle."""
-    return docs.select("doc_id", *keep, words(F.col("text")).alias("_w")).select(
-        "doc_id", *keep, F.posexplode(windows(F.col("_w"), size, overlap)).alias("chunk_index", "content")
+def chunk(docs: DataFrame, *keep: str, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS,
+          with_tokens: bool = False) -> DataFrame:
+    """Passages (doc_id, keep..., chunk_index, content) of whole texts; no shuffle.
+
+    With ``with_tokens`` each passage also carries its folded tokens. They are
+    made inside the generator so that Spark computes them once per passage; as
+    a column added afterwards they would be inlined into every use.
+    """
+    split = docs.select("doc_id", *keep, words(F.col("text")).alias("_w"))
+    texts = windows(F.col("_w"), size, overlap)
+    if not with_tokens:
+        return split.select("doc_id", *keep, F.posexplode(texts).alias("chunk_index", "content"))
+    rows = F.transform(texts, lambda c: F.struct(c.alias("content"), tokens(c).alias("tokens")))
+    return split.select("doc_id", *keep, F.posexplode(rows).alias("chunk_index", "_p")).select(
+        "doc_id", *keep, "chunk_index", "_p.content", "_p.tokens"
     )
 
 

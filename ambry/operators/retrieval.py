@@ -94,9 +94,13 @@ def lexical_rank(token_list: Column, query: LexicalQuery) -> Column:
     return match_positions(token_list, query) * F.lit(0.1)
 
 
-def _top(df: DataFrame, depth: int, *order: Column) -> DataFrame:
-    """The best ``depth`` rows, numbered from 1."""
-    cut = df.orderBy(*order).limit(depth)
+def _top(df: DataFrame, depth: int, *order: Column, where: str = "true") -> DataFrame:
+    """The best ``depth`` rows that satisfy ``where``, numbered from 1.
+
+    Rows failing ``where`` must sort last. The test comes after the cut because
+    Spark would push it below the projection and compute the score twice.
+    """
+    cut = df.orderBy(*order).limit(depth).where(where)
     return cut.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
@@ -107,18 +111,17 @@ def lexical_arm(passages: DataFrame, query: LexicalQuery, depth: int) -> DataFra
     """Best passages by lexical rank; needs a ``tokens`` column."""
     hits = passages.select(
         *PASSAGE_KEY, match_positions(F.col("tokens"), query).alias("hits")
-    ).where("hits > 0")
-    return _top(hits, depth, F.desc("hits"), F.asc("doc_id"), F.asc("chunk_index"))
+    )
+    return _top(hits, depth, F.desc("hits"), F.asc("doc_id"), F.asc("chunk_index"), where="hits > 0")
 
 
 def semantic_arm(passages: DataFrame, vector: Sequence[float], depth: int) -> DataFrame:
     """Nearest passages by cosine distance, exact, over rows that have a vector."""
-    near = (
-        passages.where(F.col("embedding").isNotNull())
-        .select(*PASSAGE_KEY, F.round(1 - cosine_to(F.col("embedding"), vector), 9).alias("distance"))
-        .where(F.col("distance").isNotNull())
+    near = passages.where(F.col("embedding").isNotNull()).select(
+        *PASSAGE_KEY, F.round(1 - cosine_to(F.col("embedding"), vector), 9).alias("distance")
     )
-    return _top(near, depth, F.asc("distance"), F.asc("doc_id"), F.asc("chunk_index"))
+    order = (F.asc_nulls_last("distance"), F.asc("doc_id"), F.asc("chunk_index"))
+    return _top(near, depth, *order, where="distance IS NOT NULL")
 
 
 def title_arm(
@@ -131,8 +134,8 @@ def title_arm(
     """
     matched = docs.select(
         "doc_id", match_positions(tokens(F.col("title")), query).alias("hits")
-    ).where("hits > 0")
-    best_docs = _top(matched, depth, F.desc("hits"), F.asc("doc_id"))
+    )
+    best_docs = _top(matched, depth, F.desc("hits"), F.asc("doc_id"), where="hits > 0")
     shown = (
         passages.join(F.broadcast(best_docs.select("doc_id")), "doc_id", "left_semi")
         .select(*PASSAGE_KEY, match_positions(F.col("tokens"), query).alias("in_text"))
@@ -292,8 +295,8 @@ def bm25_arm(
         soft = k1 * (1 - b + b * F.col("length") / F.col("stats.mean"))
         parts.append(idf * tf * (k1 + 1) / (tf + soft))
     score = reduce(lambda a, c: a + c, parts)
-    hits = known.select(*PASSAGE_KEY, F.round(score, 9).alias("bm25")).where("bm25 > 0")
-    return _top(hits, depth, F.desc("bm25"), F.asc("doc_id"), F.asc("chunk_index"))
+    hits = known.select(*PASSAGE_KEY, F.round(score, 9).alias("bm25"))
+    return _top(hits, depth, F.desc("bm25"), F.asc("doc_id"), F.asc("chunk_index"), where="bm25 > 0")
 
 
 def top_labels(

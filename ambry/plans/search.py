@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ambry import tables
-from ambry.functions.text import tokens
 from ambry.functions.vectors import norm, normalize
 from ambry.operators import index, retrieval
 from ambry.operators.retrieval import LexicalQuery
@@ -27,7 +26,7 @@ def near_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def passages(docs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
-    out = index.chunk(docs, "source").withColumn("tokens", tokens(F.col("content")))
+    out = index.chunk(docs, "source", with_tokens=True)
     return out if vectors is None else out.join(vectors, "doc_id", "left")
 
 
