@@ -21,7 +21,8 @@ def label_rows(labels: DataFrame, known: DataFrame, most: int = MAX_LABELS) -> D
     first = (
         labels.join(known.select("topic").distinct(), "topic", "left_semi")
         .groupBy("doc_id", "topic")
-        .agg(F.min_by("confidence", "pos").alias("confidence"), F.min("pos").alias("pos"))
+        .agg(F.min(F.struct("pos", "confidence")).alias("m"))
+        .select("doc_id", "topic", "m.pos", "m.confidence")
     )
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "topic"))
     return first.withColumn("_n", nth).where(F.col("_n") <= most).select(

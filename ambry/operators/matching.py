@@ -184,13 +184,13 @@ def resolve_people(records: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def feed_slugs(feeds: DataFrame, pattern: str) -> DataFrame:
-    """(slug, feed, at): distinct links of the feeds and where each was first seen.
+    """(slug, feed, nth): distinct links of the feeds and where each was first seen.
 
     ``feeds`` is (feed, body); ``pattern`` has the slug as its first group.
     """
-    links = feeds.select("feed", F.posexplode(F.regexp_extract_all("body", F.lit(pattern), F.lit(1))).alias("at", "slug"))
-    first = links.where("slug <> ''").groupBy("slug").agg(F.min(F.struct("feed", "at")).alias("p"))
-    return first.select("slug", "p.feed", "p.at")
+    links = feeds.select("feed", F.posexplode(F.regexp_extract_all("body", F.lit(pattern), F.lit(1))).alias("nth", "slug"))
+    first = links.where("slug <> ''").groupBy("slug").agg(F.min(F.struct("feed", "nth")).alias("p"))
+    return first.select("slug", "p.feed", "p.nth")
 
 
 def liveness(records: DataFrame, slugs: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """The registered queries; importing the package registers all of them."""
 
-from ambry.plans import browse, fuzzy, indexing, linking, ordered, search  # noqa: F401
+from ambry.plans import browse, fuzzy, indexing, linking, ordered, search, texts  # noqa: F401
 from ambry.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

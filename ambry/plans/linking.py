@@ -54,8 +54,8 @@ def j13_best_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 HREF = 'href="/([^"<\\s]+)"'
 FEED = f"""
 links AS (SELECT page_id AS feed, unnest(regexp_extract_all(html, '{HREF}', 1)) AS slug,
-            generate_subscripts(regexp_extract_all(html, '{HREF}', 1), 1) - 1 AS at FROM pages),
-slugs AS (SELECT slug, arg_min(struct_pack(feed := feed, at := at), struct_pack(feed := feed, at := at)) AS p FROM links WHERE slug <> '' GROUP BY slug)"""
+            generate_subscripts(regexp_extract_all(html, '{HREF}', 1), 1) - 1 AS nth FROM pages),
+slugs AS (SELECT slug, arg_min(struct_pack(feed := feed, nth := nth), struct_pack(feed := feed, nth := nth)) AS p FROM links WHERE slug <> '' GROUP BY slug)"""
 
 
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.feed_slugs(feeds, HREF)
 
 
-@query("s11_feed_slugs", f"WITH {FEED} SELECT slug, p.feed AS feed, CAST(p.at AS INTEGER) AS at FROM slugs")
+@query("s11_feed_slugs", f"WITH {FEED} SELECT slug, p.feed AS feed, CAST(p.nth AS INTEGER) AS nth FROM slugs")
 def s11_feed_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slugs(spark, sf_dir)
 
@@ -154,9 +154,9 @@ def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VARIANTS = f"""
 cols AS (SELECT n_nationkey AS pos, {q.slug('n_name')} AS slug FROM nation),
-claims AS (SELECT pos, 0 AS at, slug AS variant_slug, slug FROM cols
+claims AS (SELECT pos, 0 AS nth, slug AS variant_slug, slug FROM cols
   UNION ALL SELECT pos, 1, 'pais-' || pos, slug FROM cols UNION ALL SELECT pos, 2, 'terra-' || (pos // 2), slug FROM cols),
-variants AS (SELECT variant_slug, arg_max(slug, struct_pack(pos := pos, at := at)) AS slug FROM claims GROUP BY variant_slug)"""
+variants AS (SELECT variant_slug, arg_max(slug, struct_pack(pos := pos, nth := nth)) AS slug FROM claims GROUP BY variant_slug)"""
 
 
 @query("c3_variant_index", f"WITH {VARIANTS} SELECT * FROM variants")
@@ -225,7 +225,7 @@ def a18_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f29_label_rows", """
 WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber * 100000 + l_partkey AS pos, p_brand AS topic, l_discount * 12 - 0.1 AS c
            FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand <> 'Brand#7'),
-f AS (SELECT doc_id, topic, min(pos) AS pos, arg_min(c, pos) AS c FROM l GROUP BY ALL)
+f AS (SELECT doc_id, topic, min(pos) AS pos, min(struct_pack(pos := pos, c := c)).c AS c FROM l GROUP BY ALL)
 SELECT doc_id, topic, round(greatest(0, least(1, c)), 9) AS confidence FROM f
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos, topic) <= 4""")
 def f29_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

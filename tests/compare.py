@@ -65,8 +65,9 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
         return False, f"{note}; columns {sorted(got.columns)} != {sorted(want.columns)}"
     a, b = canonical(got), canonical(want)
     if a != b:
-        only_a = [r for r in a if r not in set(b)][:3]
-        only_b = [r for r in b if r not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        only_a = [r for r in a if r not in in_b][:3]
+        only_b = [r for r in b if r not in in_a][:3]
         return False, f"{note}; sql {len(b)} rows; spark only {only_a}; sql only {only_b}"
     ka, kb = kinds(got), kinds(want)
     differ = {c: (ka[c], kb[c]) for c in ka if ka[c] != kb[c]}
