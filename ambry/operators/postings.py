@@ -14,16 +14,27 @@ from ambry.operators.retrieval import PASSAGE_KEY, LexicalQuery, _top
 def build_postings(passages: DataFrame, stop_words: Iterable[str] = ()) -> DataFrame:
     """(lexeme, doc_id, chunk_index, n) from passages with ``tokens``.
 
-    Tokens are counted per passage before they are stemmed, so a word is
-    stemmed once per passage, and the second count is over a few stems. Store
-    it sorted by lexeme: a search then reads the row groups of its terms only.
+    Only the vocabulary is stemmed: it grows far slower than the text, and is
+    broadcast while it is small. Beyond that the words meet it in a shuffle
+    whose frequent words adaptive execution splits.
     """
     stop = list(stop_words)
     spoken = passages.select(*PASSAGE_KEY, F.explode("tokens").alias("word"))
     if stop:
         spoken = spoken.where(~F.col("word").isin(stop))
-    counted = spoken.groupBy(*PASSAGE_KEY, "word").agg(F.count(F.lit(1)).alias("n"))
-    return stem(counted, "word", "lexeme").groupBy("lexeme", *PASSAGE_KEY).agg(F.sum("n").alias("n"))
+    vocabulary = stem(spoken.select("word").distinct(), "word", "lexeme")
+    return spoken.join(vocabulary, "word").groupBy("lexeme", *PASSAGE_KEY).agg(F.count(F.lit(1)).alias("n"))
+
+
+def store_postings(postings: DataFrame, path: str) -> DataFrame:
+    """Writes the index sorted by lexeme and returns the stored table.
+
+    A search then reads the row groups of its terms only. Passages are part of
+    the range key, so a lexeme found everywhere is spread over many files.
+    """
+    order = ("lexeme", *PASSAGE_KEY)
+    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    return postings.sparkSession.read.schema(postings.schema).parquet(path)
 
 
 def postings_arm(postings: DataFrame, query: LexicalQuery, depth: int) -> DataFrame:

@@ -12,6 +12,7 @@ from ambry.functions.titles import parse_title
 from ambry.operators import index, postings
 from ambry.operators.retrieval import LexicalQuery
 from ambry.plans.registry import query
+from ambry.session import scratch_path
 
 CHAPTERS = 50
 
@@ -125,4 +126,5 @@ def r1_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r2_postings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search by stem over the inverted index of all passages."""
     found = index.chunk(tables.corpus(spark, sf_dir), with_tokens=True)
-    return postings.postings_arm(postings.build_postings(found), LexicalQuery(("tion", "heron", "que", "ueez")), 80)
+    stored = postings.store_postings(postings.build_postings(found), scratch_path(spark, "postings"))
+    return postings.postings_arm(stored, LexicalQuery(("tion", "heron", "que", "ueez")), 80)
