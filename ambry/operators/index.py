@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ambry.functions.paragraphs import sentences
 from ambry.functions.text import tokens, words
 
 CHUNK_WORDS = 200
@@ -60,6 +61,45 @@ def chunk(docs: DataFrame, *keep: str, size: int = CHUNK_WORDS, overlap: int = O
     )
 
 
+def sentence_chunk(docs: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> DataFrame:
+    """The older passages: whole sentences up to ``size`` words, each with the start of the next.
+
+    Sentences are collected until they reach ``size``; a passage a quarter
+    longer than that is cut into even pieces; every passage takes the first
+    ``overlap`` words of its successor, and the last one, having none, is left
+    out.
+    """
+    empty = F.struct(
+        F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open")
+    )
+
+    def add(acc: Column, s: Column) -> Column:
+        full = (F.size(acc["open"]) >= size) & (F.size(acc["open"]) + F.size(s) > size)
+        return F.struct(
+            F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
+            F.when(full, s).otherwise(F.concat(acc["open"], s)).alias("open"),
+        )
+
+    def finish(acc: Column) -> Column:
+        return F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+
+    def pieces(w: Column) -> Column:
+        count = F.ceil(F.size(w) / size).cast("int")
+        each = F.floor(F.size(w) / count).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(w, i * each + 1, each))
+        return F.when(F.size(w) > 1.25 * size, cut).otherwise(F.array(w))
+
+    spoken = docs.select("doc_id", F.transform(sentences(F.col("text")), lambda s: words(s)).alias("_s"))
+    packed = spoken.select("doc_id", F.aggregate("_s", empty, add, finish).alias("_p"))
+    cut = packed.select("doc_id", F.flatten(F.transform("_p", pieces)).alias("_p"))
+    whole = F.filter(
+        F.transform("_p", lambda w, i: F.concat(w, F.slice(F.get("_p", i + 1), 1, overlap))), lambda w: w.isNotNull()
+    )
+    return cut.select("doc_id", F.posexplode(whole).alias("chunk_index", "_w")).select(
+        "doc_id", "chunk_index", F.array_join("_w", " ").alias("content")
+    )
+
+
 def passage_hash(doc_id: Column, index: Column, content: Column) -> Column:
     return F.sha2(F.concat_ws(":", doc_id.cast("string"), index.cast("string"), content), 256)
 

@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from ambry.functions.text import tokens
 from ambry.functions.vectors import cosine_to
+from ambry.operators.filters import SearchRequest
 
 TITLE_DEPTH = 2
 ARM_DEPTH = 8
@@ -263,6 +264,32 @@ def rerank(
     )
 
 
+def search(
+    docs: DataFrame,
+    passages: DataFrame,
+    request: SearchRequest,
+    vector: Sequence[float],
+    analyse: Callable[[str], list[str]],
+    scorer: Scorer | None = None,
+) -> DataFrame:
+    """A search from request to page: validate, retrieve, rerank, keep ``limit`` documents.
+
+    ``docs`` and ``passages`` are already restricted by the request's filters.
+    """
+    asked = request.validate()
+    query = lexical_query(asked.query, analyse)
+    k = RERANK_CANDIDATES if scorer else asked.limit * PER_DOC
+    best = hybrid_search(docs, passages, query, vector, k)
+    order = Window.orderBy(F.desc("score"), "doc_id", "chunk_index")
+    ranked = best.withColumn("rank", F.row_number().over(order))
+    content = passages.select(*PASSAGE_KEY, "content").join(F.broadcast(ranked), [*PASSAGE_KEY])
+    if scorer is None:
+        answer = content.withColumn("reranked", F.lit(False))
+    else:
+        answer = rerank(content, asked.query, scorer, asked.limit * PER_DOC)
+    return page_by_doc(answer, asked.limit)
+
+
 def bm25_arm(
     passages: DataFrame, query: LexicalQuery, depth: int, k1: float = 1.5, b: float = 0.75
 ) -> DataFrame:
