@@ -29,8 +29,8 @@ def paragraphs(sentence_list: Column, target: int = TARGET_WORDS) -> Column:
     )
 
     def add(acc: Column, s: Column) -> Column:
-        text = F.concat_ws(" ", acc["open"], s)
-        n = acc["n"] + count_words(s)
+        text = F.concat_ws(" ", acc["open"], s["text"])
+        n = acc["n"] + s["n"]
         full = n >= target
         return F.struct(
             F.when(full, F.concat(acc["done"], F.array(text))).otherwise(acc["done"]).alias("done"),
@@ -41,17 +41,25 @@ def paragraphs(sentence_list: Column, target: int = TARGET_WORDS) -> Column:
     def finish(acc: Column) -> Column:
         return F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
 
-    return F.aggregate(sentence_list, empty, add, finish)
+    # counted beforehand: inside the fold the count would be evaluated at every mention
+    counted = F.transform(sentence_list, lambda s: F.struct(s.alias("text"), count_words(s).alias("n")))
+    return F.aggregate(counted, empty, add, finish)
 
 
-def paragraph_at(paragraph_list: Column, offset: Column) -> Column:
-    """0-based paragraph that holds the word at ``offset``; 0 when it is out of range."""
+def paragraph_sizes(paragraph_list: Column) -> Column:
+    return F.transform(paragraph_list, lambda p: count_words(p))
+
+
+def paragraph_at(sizes: Column, offset: Column) -> Column:
+    """0-based paragraph that holds the word at ``offset``; 0 when it is out of range.
+
+    ``sizes`` is ``paragraph_sizes``, made once per text.
+    """
     start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("i"), F.lit(-1).alias("hit"))
 
-    def step(acc: Column, p: Column) -> Column:
-        seen = acc["seen"] + count_words(p)
-        here = F.when((acc["hit"] < 0) & (seen > offset), acc["i"]).otherwise(acc["hit"])
-        return F.struct(seen.alias("seen"), (acc["i"] + 1).alias("i"), here.alias("hit"))
+    def step(acc: Column, n: Column) -> Column:
+        here = F.when((acc["hit"] < 0) & (acc["seen"] + n > offset), acc["i"]).otherwise(acc["hit"])
+        return F.struct((acc["seen"] + n).alias("seen"), (acc["i"] + 1).alias("i"), here.alias("hit"))
 
-    found = F.aggregate(paragraph_list, start, step, lambda acc: F.greatest(acc["hit"], F.lit(0)))
+    found = F.aggregate(sizes, start, step, lambda acc: F.greatest(acc["hit"], F.lit(0)))
     return F.when(offset <= 0, 0).otherwise(found)

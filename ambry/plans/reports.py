@@ -172,7 +172,7 @@ FROM nth JOIN chunks USING (doc_id, chunk_index) WHERE n <= 5""")
 def r10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole request: five documents for a few words, without a reranker."""
     docs = tables.corpus(spark, sf_dir)
-    found = search.passages(docs, tables.vectors(spark, sf_dir))
+    found = search.indexed(docs, tables.vectors(spark, sf_dir))
     request = SearchRequest(" ".join(search.TERMS.terms), limit=5)
     page = retrieval.search(docs, found, request, search.near_vector(spark, sf_dir), lambda t: t.lower().split())
     return page.select("doc_id", "chunk_index", "rank", "score", F.md5("content").alias("content_md5"), "reranked")

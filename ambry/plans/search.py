@@ -12,6 +12,7 @@ from ambry.operators import index, retrieval
 from ambry.operators.retrieval import LexicalQuery
 from ambry.plans import sqltext as q
 from ambry.plans.registry import query
+from ambry.session import scratch_path
 
 TERMS = LexicalQuery(("tion", "heron", "laaion", "que", "ring", "sch", "ueez"))
 NEAR = 7
@@ -25,9 +26,21 @@ def near_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(row[0])
 
 
-def passages(docs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
-    out = index.chunk(docs, "source", with_tokens=True)
-    return out if vectors is None else out.join(vectors, "doc_id", "left")
+def passages(docs: DataFrame) -> DataFrame:
+    return index.chunk(docs, "source", with_tokens=True)
+
+
+def indexed(docs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The passage index of some documents, stored as the arms of a search read it.
+
+    Texts are split and folded once; each arm then scans its own columns only.
+    Vectors join the documents, before these multiply into passages.
+    """
+    spark = docs.sparkSession
+    path = scratch_path(spark, "passages")
+    found = index.chunk(docs.join(vectors, "doc_id", "left"), "embedding", with_tokens=True)
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
 
 
 def hits(expr: str, terms: tuple[str, ...] = TERMS.terms) -> str:
@@ -78,7 +91,7 @@ def _answer(spark: SparkSession, sf_dir: str, langs: list[str] | None) -> DataFr
     docs = tables.corpus(spark, sf_dir)
     if langs:
         docs = docs.where(F.col("lang").isin(langs))
-    found = passages(docs, tables.vectors(spark, sf_dir))
+    found = indexed(docs, tables.vectors(spark, sf_dir))
     best = retrieval.hybrid_search(docs, found, TERMS, near_vector(spark, sf_dir), K)
     text = docs.join(F.broadcast(best), "doc_id")
     return text.select(
@@ -106,7 +119,7 @@ SELECT doc_id, chunk_index, CAST(l AS INTEGER) AS lexical_rank, CAST(s AS INTEGE
        CAST(t AS INTEGER) AS title_rank, score FROM fused""")
 def r8_rrf_three_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.corpus(spark, sf_dir)
-    found = passages(docs, tables.vectors(spark, sf_dir))
+    found = indexed(docs, tables.vectors(spark, sf_dir))
     arms = {
         "lexical": retrieval.lexical_arm(found, TERMS, retrieval.ARM_DEPTH * K),
         "semantic": retrieval.semantic_arm(found, near_vector(spark, sf_dir), retrieval.ARM_DEPTH * K),
@@ -188,7 +201,7 @@ nth AS (SELECT *, dense_rank() OVER (ORDER BY f) AS n FROM firsts)
 SELECT doc_id, chunk_index, CAST(rank AS INTEGER) AS rank FROM nth WHERE n <= 5""")
 def w5_page_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.corpus(spark, sf_dir)
-    found = passages(docs, tables.vectors(spark, sf_dir))
+    found = indexed(docs, tables.vectors(spark, sf_dir))
     best = retrieval.hybrid_search(docs, found, TERMS, near_vector(spark, sf_dir), K)
     order = Window.orderBy(F.desc("score"), "doc_id", "chunk_index")
     ranked = best.withColumn("rank", F.row_number().over(order))
@@ -215,7 +228,7 @@ def r19_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r19_bm25_rrf")
 def r19_bm25_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two-arm variant: BM25 and vectors, 30 each, equal weights."""
-    found = passages(tables.corpus(spark, sf_dir), tables.vectors(spark, sf_dir))
+    found = indexed(tables.corpus(spark, sf_dir), tables.vectors(spark, sf_dir))
     arms = {
         "lexical": retrieval.bm25_arm(found, TERMS, 30),
         "semantic": retrieval.semantic_arm(found, near_vector(spark, sf_dir), 30),
@@ -232,7 +245,7 @@ SELECT doc_id, chunk_index, CAST(row_number() OVER (ORDER BY pair DESC, rank) AS
        round(pair, 9) AS score, true AS reranked FROM pair""")
 def r11_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.corpus(spark, sf_dir)
-    found = passages(docs, tables.vectors(spark, sf_dir))
+    found = indexed(docs, tables.vectors(spark, sf_dir))
     best = retrieval.hybrid_search(docs, found, TERMS, near_vector(spark, sf_dir), K)
     order = Window.orderBy(F.desc("score"), "doc_id", "chunk_index")
     ranked = docs.join(F.broadcast(best.withColumn("rank", F.row_number().over(order))), "doc_id").select(

@@ -217,7 +217,9 @@ cum AS (SELECT doc_id, para, sum(words) OVER (PARTITION BY doc_id ORDER BY para)
 SELECT c.doc_id, c.chunk_index, CAST(CASE WHEN c.chunk_index = 0 THEN 0
   ELSE coalesce((SELECT min(para) FROM cum WHERE cum.doc_id = c.doc_id AND cum.seen > c.chunk_index * 170), 0) END AS INTEGER) AS para FROM chunks c""")
 def r23_paragraph_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packed(spark, sf_dir).select("doc_id", "ps", T.words(F.col("text")).alias("w"))
-    count = F.size(index.windows(F.col("w")))
-    each = rows.select("doc_id", "ps", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_index"))
-    return each.select("doc_id", "chunk_index", P.paragraph_at(F.col("ps"), F.col("chunk_index") * P.CHUNK_STRIDE).alias("para"))
+    rows = packed(spark, sf_dir).select("doc_id", P.paragraph_sizes(F.col("ps")).alias("sizes"), T.words(F.col("text")).alias("w"))
+    # exploding an array keeps the sizes above from being recomputed per passage
+    numbered = rows.select("doc_id", "sizes", F.posexplode(index.windows(F.col("w"))).alias("chunk_index", "content"))
+    return numbered.select(
+        "doc_id", "chunk_index", P.paragraph_at(F.col("sizes"), F.col("chunk_index") * P.CHUNK_STRIDE).alias("para")
+    )

@@ -24,7 +24,8 @@ t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_linen
 
 
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = tables.load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("int").alias("qty"))
+    scan = tables.load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("int").alias("qty"))
+    lines = tables.spread_out(scan, "l_orderkey")
     parts = tables.load(spark, sf_dir, "part").select("p_partkey", "p_name")
     orders = tables.load(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd-MM-yyyy").alias("day"))
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
