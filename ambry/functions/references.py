@@ -90,10 +90,13 @@ class Catalogue:
     def patterns(self, tier: int) -> list[str]:
         tail = r"(?![a-z0-9])" if tier == 0 else r"(?=\s*\d)"
         texts = sorted(self.slugs[tier], key=len, reverse=True)
-        return [
-            rf"(?<![a-z0-9])(?:{'|'.join(re.escape(t) for t in texts[i:i + BLOCK])}){tail}"
-            for i in range(0, len(texts), BLOCK)
-        ]
+        out = []
+        for i in range(0, len(texts), BLOCK):
+            block = texts[i : i + BLOCK]
+            # most places are ruled out by their first character
+            first = "".join(sorted({re.escape(t[0]) for t in block}))
+            out.append(rf"(?<![a-z0-9])(?=[{first}])(?:{'|'.join(map(re.escape, block))}){tail}")
+        return out
 
     def slug_of(self, tier: int, text: Column) -> Column:
         pairs = [F.lit(x) for pair in self.slugs[tier].items() for x in pair]
@@ -115,7 +118,10 @@ def find_work(df: DataFrame, text: str, catalogue: Catalogue, prefix: str = "ref
     hits = []
     for tier in (0, 1):
         for pattern in catalogue.patterns(tier):
-            found = F.regexp_extract(col, pattern, 0)
+            # a column of its own, so that the alternation runs once for text and once for place
+            name = f"{prefix}found{len(hits)}"
+            hay = hay.withColumn(name, F.regexp_extract(col, pattern, 0))
+            found = F.col(name)
             hits.append(F.when(
                 found != "",
                 F.struct(
@@ -128,7 +134,7 @@ def find_work(df: DataFrame, text: str, catalogue: Catalogue, prefix: str = "ref
     at, length = F.col(f"{prefix}m.at"), -F.col(f"{prefix}m.len")
     return chosen.withColumn(f"{prefix}work", F.col(f"{prefix}m.slug")).withColumn(
         f"{prefix}rest", F.substring(col, at + length, F.length(col))
-    ).drop(f"{prefix}m", f"{prefix}hay")
+    ).drop(f"{prefix}m", f"{prefix}hay", *[f"{prefix}found{i}" for i in range(len(hits))])
 
 
 def _int(col: Column, pattern: str, group: int) -> Column:
