@@ -47,7 +47,7 @@ def _pieces(keys: DataFrame, form: str, threshold: float) -> DataFrame:
     start = _piece_start(F.col("length"), F.col("pieces"), F.col("i"))
     stop = _piece_start(F.col("length"), F.col("pieces"), F.col("i") + 1)
     return cut_up.select(
-        F.col("name").alias("a"), "signature", "length", "i",
+        F.col("name").alias("a"), F.col("s").alias("sa"), "signature", "length", "i",
         F.substring("s", start + 1, stop - start).alias("piece"),
     )
 
@@ -71,7 +71,7 @@ def _probes(keys: DataFrame, form: str, threshold: float) -> DataFrame:
     high = F.least(start + F.col("i"), start + shift + (budget - F.col("i")), F.col("n") - (stop - start))
     spots = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
     return per_piece.select("name", "signature", "length", "i", "s", (stop - start).alias("w"), F.explode(spots).alias("at")).select(
-        F.col("name").alias("b"), "signature", "length", "i",
+        F.col("name").alias("b"), F.col("s").alias("sb"), "signature", "length", "i",
         F.expr("substring(s, at + 1, w)").alias("piece"),
     )
 
@@ -81,30 +81,23 @@ def similar_pairs(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Exact, without comparing all names with each other: two strings within the
     edit budget share an unedited piece at nearly the same place, so pairs are
-    found by an equi-join on (numbers, length, piece) and then verified. Equal
-    names are merged before, which is where the repetition in real data sits.
+    found by an equi-join on (numbers, length, piece). Each is verified where
+    it is found and only true pairs are shuffled on; a form in which a pair was
+    not found is below the threshold and cannot be its maximum. Equal names
+    are merged before, which is where the repetition in real data sits.
     """
     keys = cut(name_keys(names))
     found = []
     for form in ("joined", "ordered"):
         left, right = _pieces(keys, form, threshold), _probes(keys, form, threshold)
+        close = edit_ratio(F.col("sa"), F.col("sb"))
         found.append(
             left.join(right, ["signature", "length", "i", "piece"])
             .where("a <> b")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round(close, 9).alias("similarity"))
+            .where(F.col("similarity") >= threshold - _EPS)
         )
-    candidates = reduce(DataFrame.unionByName, found).distinct()
-    forms = keys.select("name", "joined", "ordered")
-    left = forms.select(F.col("name").alias("a"), F.col("joined").alias("ja"), F.col("ordered").alias("oa"))
-    right = forms.select(F.col("name").alias("b"), F.col("joined").alias("jb"), F.col("ordered").alias("ob"))
-    close = F.greatest(
-        edit_ratio(F.col("ja"), F.col("jb")), edit_ratio(F.col("oa"), F.col("ob"))
-    )
-    return (
-        candidates.join(left, "a").join(right, "b")
-        .select("a", "b", F.round(close, 9).alias("similarity"))
-        .where(F.col("similarity") >= threshold - _EPS)
-    )
+    return reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
