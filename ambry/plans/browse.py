@@ -9,7 +9,7 @@ from ambry import tables
 from ambry.operators import facets, listing
 from ambry.operators.filters import Filters, restrict
 from ambry.plans import sqltext as q
-from ambry.plans.registry import query
+from ambry.plans.registry import maybe_int, query
 
 W = f"WITH {q.ITEMS}"
 
@@ -161,12 +161,13 @@ PARTS = "CASE WHEN o_totalprice > 250000 THEN CAST(floor(o_totalprice / 10000) A
 
 @query("o5_course_order", f"""
 WITH f AS (SELECT o_orderkey AS item_id, {PARTS} AS part, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderstatus = 'O')
-SELECT item_id, part, CAST(date AS VARCHAR) AS date FROM f ORDER BY part ASC NULLS FIRST, f.date, item_id LIMIT 20""")
+SELECT item_id, CAST(part AS DOUBLE) AS part, CAST(date AS VARCHAR) AS date FROM f ORDER BY f.part ASC NULLS FIRST, f.date, item_id LIMIT 20""")
 def o5_course_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = tables.load(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
     part = F.when(F.col("o_totalprice") > 250000, F.floor(F.col("o_totalprice") / 10000).cast("int"))
     items = orders.select(F.col("o_orderkey").alias("item_id"), part.alias("part"), F.col("o_orderdate").cast("date").alias("date"))
-    return listing.page(items, "collection").select("item_id", "part", F.col("date").cast("string").alias("date"))
+    found = listing.page(items, "collection").select("item_id", "part", F.col("date").cast("string").alias("date"))
+    return maybe_int(found, "part")
 
 
 @query("o7_leaf_cap", W + """

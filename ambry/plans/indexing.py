@@ -10,7 +10,7 @@ from ambry.functions import text as T
 from ambry.functions import values as V
 from ambry.operators import index, loader
 from ambry.plans import sqltext as q
-from ambry.plans.registry import query
+from ambry.plans.registry import maybe_int, query
 
 C = f"WITH {q.CHUNKS}"
 HASH = "sha256(doc_id || ':' || chunk_index || ':' || content)"
@@ -94,14 +94,15 @@ def s18_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("s19_self_parent", """
-SELECT a.c_custkey AS custkey, b.c_custkey AS parent FROM customer a
+SELECT a.c_custkey AS custkey, CAST(b.c_custkey AS DOUBLE) AS parent FROM customer a
 LEFT JOIN customer b ON b.c_custkey = a.c_custkey + 900 AND b.c_custkey <> a.c_custkey""")
 def s19_self_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parents are set only where they exist: customer k claims k + 900."""
     keys = tables.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"))
     claimed = keys.withColumn("parent", F.col("custkey") + 900)
     known = keys.select(F.col("custkey").alias("parent"), F.lit(True).alias("known"))
-    return claimed.join(known, "parent", "left").select("custkey", F.when(F.col("known"), F.col("parent")).alias("parent"))
+    found = claimed.join(known, "parent", "left")
+    return maybe_int(found.select("custkey", F.when(F.col("known"), F.col("parent")).alias("parent")), "parent")
 
 
 @query("p10_resume_filter", """

@@ -20,7 +20,7 @@ JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY b.item_id"""
 
 def contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     needles = tables.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
-    texts = tables.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text")
+    texts = tables.corpus(spark, sf_dir).select(F.col("doc_id").alias("pos"), "text")
     return matching.first_containing(needles, texts)
 
 
@@ -345,7 +345,7 @@ def a22_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     golden = tables.load(spark, sf_dir, "benchmark")
     phrase = F.array_join(F.slice(tokens(F.col("text")), 1, SHINGLE), " ")
     want = golden.select(F.col("item_id").alias("query_id"), phrase.alias("phrase"))
-    held = tables.load(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
+    held = tables.corpus(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("t"))
     spots = F.when(F.size("t") >= SHINGLE, F.sequence(F.lit(1), F.size("t") - (SHINGLE - 1)))
     grams = held.select("doc_id", F.explode(F.transform(spots, lambda i: F.array_join(F.slice("t", i, SHINGLE), " "))).alias("phrase"))
     hits = grams.join(want, "phrase").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))

@@ -12,6 +12,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def maybe_int(df: DataFrame, *names: str) -> DataFrame:
+    """Whole numbers that may be null, as doubles: clients differ in how they hold the former."""
+    return df.withColumns({n: df[n].cast("double") for n in names})
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         if name in QUERIES:

@@ -13,7 +13,7 @@ from ambry.operators import catalogue, facets, index, retrieval
 from ambry.operators.filters import SearchRequest
 from ambry.plans import browse, search
 from ambry.plans import sqltext as q
-from ambry.plans.registry import query
+from ambry.plans.registry import maybe_int, query
 
 W = browse.W
 
@@ -21,8 +21,8 @@ W = browse.W
 @query("p8_reference_payload", """
 WITH r AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, p_brand AS work, l_linenumber AS n, l_quantity AS qty, l_returnflag AS f
            FROM lineitem JOIN part ON p_partkey = l_partkey)
-SELECT doc_id, work, CAST(CASE WHEN n = 7 THEN 0 ELSE n END AS BIGINT) AS chapter, CASE WHEN n <> 2 THEN CAST(floor(qty) AS BIGINT) END AS verse_start,
-  CAST(NULL AS BIGINT) AS verse_end, CASE WHEN f = 'A' THEN 'titulo' ELSE f END AS source, f <> 'N' AS is_primary
+SELECT doc_id, work, CAST(CASE WHEN n = 7 THEN 0 ELSE n END AS BIGINT) AS chapter, CASE WHEN n <> 2 THEN CAST(floor(qty) AS DOUBLE) END AS verse_start,
+  CAST(NULL AS DOUBLE) AS verse_end, CASE WHEN f = 'A' THEN 'titulo' ELSE f END AS source, f <> 'N' AS is_primary
 FROM r WHERE doc_id IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F') AND work <> 'Brand#3'""")
 def p8_reference_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference rows as a CSV delivers them: blanks, decimals, stray text."""
@@ -38,7 +38,7 @@ def p8_reference_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     docs = tables.load(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("doc_id"))
     works = parts.where("work <> 'Brand#3'").select("work").distinct()
-    return catalogue.reference_payload(rows, docs, works)
+    return maybe_int(catalogue.reference_payload(rows, docs, works), "verse_start", "verse_end")
 
 
 @query("p8_topic_payload", """
@@ -191,7 +191,7 @@ def r18_sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("f39_json_in_reply", """
-SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""")
+SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS DOUBLE) END AS k FROM events""")
 def f39_json_in_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model replies with the object fenced, in prose, or absent."""
     kind = F.col("event_type")
@@ -201,7 +201,7 @@ def f39_json_in_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Here: "), "props", F.lit(" ok")))
     )
     body = V.json_in_reply(reply)
-    return tables.load(spark, sf_dir, "events").select("event_id", F.get_json_object(body, "$.k").cast("long").alias("k"))
+    return tables.load(spark, sf_dir, "events").select("event_id", F.get_json_object(body, "$.k").cast("double").alias("k"))
 
 
 @query("f40_client_key", """

@@ -11,7 +11,7 @@ from ambry.functions.vectors import norm, normalize
 from ambry.operators import index, retrieval
 from ambry.operators.retrieval import LexicalQuery
 from ambry.plans import sqltext as q
-from ambry.plans.registry import query
+from ambry.plans.registry import maybe_int, query
 from ambry.session import scratch_path
 
 TERMS = LexicalQuery(("tion", "heron", "laaion", "que", "ring", "sch", "ueez"))
@@ -115,8 +115,8 @@ def r7_hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("r8_rrf_three_arms", arms_sql("") + """
-SELECT doc_id, chunk_index, CAST(l AS INTEGER) AS lexical_rank, CAST(s AS INTEGER) AS semantic_rank,
-       CAST(t AS INTEGER) AS title_rank, score FROM fused""")
+SELECT doc_id, chunk_index, CAST(l AS DOUBLE) AS lexical_rank, CAST(s AS DOUBLE) AS semantic_rank,
+       CAST(t AS DOUBLE) AS title_rank, score FROM fused""")
 def r8_rrf_three_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.corpus(spark, sf_dir)
     found = indexed(docs, tables.vectors(spark, sf_dir))
@@ -125,7 +125,7 @@ def r8_rrf_three_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
         "semantic": retrieval.semantic_arm(found, near_vector(spark, sf_dir), retrieval.ARM_DEPTH * K),
         "title": retrieval.title_arm(docs, found, TERMS, retrieval.TITLE_DEPTH * K),
     }
-    return retrieval.fuse(arms, retrieval.WEIGHTS)
+    return maybe_int(retrieval.fuse(arms, retrieval.WEIGHTS), "lexical_rank", "semantic_rank", "title_rank")
 
 
 @query("r9_title_arm", arms_sql("") + """
@@ -208,7 +208,7 @@ def w5_page_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.page_by_doc(ranked, 5).select("doc_id", "chunk_index", "rank")
 
 
-@query("r19_bm25", f"""
+BM25_SQL = f"""
 WITH {q.CHUNKS}, toks AS (SELECT doc_id, chunk_index, {q.tokens('content')} AS toks FROM chunks),
 tf AS (SELECT doc_id, chunk_index, len(toks) AS n, term, len(list_filter(toks, lambda t: t = term)) AS tf
        FROM toks, (SELECT unnest({list(TERMS.terms)}) AS term)),
@@ -216,7 +216,10 @@ df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY term),
 st AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM toks),
 s AS (SELECT doc_id, chunk_index, round(sum(ln(1 + (st.n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double
         / (tf + 1.5::double * (0.25::double + 0.75::double * tf.n / st.mean))), 9) AS bm25
-      FROM tf JOIN df USING (term), st GROUP BY doc_id, chunk_index)
+      FROM tf JOIN df USING (term), st GROUP BY doc_id, chunk_index)"""
+
+
+@query("r19_bm25", BM25_SQL + """
 SELECT doc_id, chunk_index, round(bm25, 6) AS bm25,
        CAST(row_number() OVER (ORDER BY bm25 DESC, doc_id, chunk_index) AS INTEGER) AS rank
 FROM s WHERE bm25 > 0 ORDER BY rank LIMIT 30""")
@@ -225,7 +228,16 @@ def r19_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arm.select("doc_id", "chunk_index", F.round("bm25", 6).alias("bm25"), "rank")
 
 
-@query("r19_bm25_rrf")
+@query("r19_bm25_rrf", BM25_SQL + f""",
+lex AS (SELECT doc_id, chunk_index, row_number() OVER (ORDER BY bm25 DESC, doc_id, chunk_index) AS rank FROM s WHERE bm25 > 0 QUALIFY rank <= 30),
+qv AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = {NEAR}),
+sem AS (SELECT t.doc_id, t.chunk_index, row_number() OVER (ORDER BY {DISTANCE}, t.doc_id, t.chunk_index) AS rank
+        FROM toks t JOIN embeddings e ON e.vec_id = t.doc_id, qv QUALIFY rank <= 30)
+SELECT coalesce(lex.doc_id, sem.doc_id) AS doc_id, coalesce(lex.chunk_index, sem.chunk_index) AS chunk_index,
+  CAST(lex.rank AS DOUBLE) AS lexical_rank, CAST(sem.rank AS DOUBLE) AS semantic_rank,
+  round(coalesce(1.0::double / (60 + lex.rank), 0) + coalesce(1.0::double / (60 + sem.rank), 0), 12) AS score
+FROM lex FULL OUTER JOIN sem ON lex.doc_id = sem.doc_id AND lex.chunk_index = sem.chunk_index
+ORDER BY score DESC, 1, 2 LIMIT 30""")
 def r19_bm25_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two-arm variant: BM25 and vectors, 30 each, equal weights."""
     found = indexed(tables.corpus(spark, sf_dir), tables.vectors(spark, sf_dir))
@@ -234,7 +246,8 @@ def r19_bm25_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
         "semantic": retrieval.semantic_arm(found, near_vector(spark, sf_dir), 30),
     }
     fused = retrieval.fuse(arms, {"lexical": 1.0, "semantic": 1.0})
-    return fused.orderBy(F.desc("score"), "doc_id", "chunk_index").limit(30)
+    best = fused.orderBy(F.desc("score"), "doc_id", "chunk_index").limit(30)
+    return maybe_int(best, "lexical_rank", "semantic_rank")
 
 
 @query("r11_rerank", arms_sql("") + f""",

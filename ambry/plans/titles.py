@@ -11,7 +11,7 @@ from ambry.functions.stem import stem
 from ambry.functions.titles import parse_title
 from ambry.operators import index, postings
 from ambry.operators.retrieval import LexicalQuery
-from ambry.plans.registry import query
+from ambry.plans.registry import maybe_int, query
 from ambry.session import scratch_path
 
 CHAPTERS = 50
@@ -56,29 +56,30 @@ def f5_find_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("f7_parse_reference", f"""WITH {TITLED}
-SELECT {KEY}, CASE WHEN k <> 3 THEN work END AS work, CASE WHEN k IN (1, 2, 4) AND qty <= {CHAPTERS} THEN qty END AS chapter,
-  CASE WHEN qty <= {CHAPTERS} THEN CASE k WHEN 1 THEN 5 WHEN 4 THEN 12 END END AS verse_start,
-  CASE WHEN qty <= {CHAPTERS} THEN CASE k WHEN 1 THEN 7 WHEN 4 THEN 14 END END AS verse_end FROM t""")
+SELECT {KEY}, CASE WHEN k <> 3 THEN work END AS work, CAST(CASE WHEN k IN (1, 2, 4) AND qty <= {CHAPTERS} THEN qty END AS DOUBLE) AS chapter,
+  CAST(CASE WHEN qty <= {CHAPTERS} THEN CASE k WHEN 1 THEN 5 WHEN 4 THEN 12 END END AS DOUBLE) AS verse_start,
+  CAST(CASE WHEN qty <= {CHAPTERS} THEN CASE k WHEN 1 THEN 7 WHEN 4 THEN 14 END END AS DOUBLE) AS verse_end FROM t""")
 def f7_parse_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = parse_reference(titled(spark, sf_dir), "title", catalogue(spark, sf_dir))
-    return read.select(
+    found = read.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("ref_work").alias("work"),
         F.col("ref_chapter_start").alias("chapter"), F.col("ref_verse_start").alias("verse_start"),
         F.col("ref_verse_end").alias("verse_end"),
     )
+    return maybe_int(found, "chapter", "verse_start", "verse_end")
 
 
 @query("f11_parse_title", f"""WITH {TITLED}
 SELECT {KEY}, CASE k WHEN 0 THEN 'ebd' WHEN 4 THEN 'ebd' WHEN 2 THEN 'congresso' ELSE 'culto' END AS kind,
   CASE k WHEN 2 THEN 'IV Congresso Alfa' END AS event,
   CASE k WHEN 0 THEN p_name || ' course' WHEN 2 THEN 'IV Congresso Alfa' WHEN 3 THEN 'CFW ' || l_linenumber END AS collection_name,
-  CASE k WHEN 0 THEN qty WHEN 2 THEN 2 END AS part, CASE WHEN k <> 3 THEN work END AS work FROM t""")
+  CAST(CASE k WHEN 0 THEN qty WHEN 2 THEN 2 END AS DOUBLE) AS part, CASE WHEN k <> 3 THEN work END AS work FROM t""")
 def f11_parse_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = parse_title(titled(spark, sf_dir), catalogue(spark, sf_dir))
-    return read.select(
+    return maybe_int(read.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "kind", "event", "collection_name", "part",
         F.col("ref_work").alias("work"),
-    )
+    ), "part")
 
 
 RANGES = """
@@ -97,22 +98,22 @@ def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("f8_expand_ranges", f"""WITH {RANGES}, x AS (SELECT *, unnest(CASE WHEN s IS NULL THEN [0] ELSE range(s, e + 1) END) AS chapter FROM r)
-SELECT {KEY}, CAST(chapter AS INTEGER) AS chapter, CASE WHEN chapter = s THEN v1 END AS verse_start, CASE WHEN chapter = e THEN v2 END AS verse_end FROM x""")
+SELECT {KEY}, CAST(chapter AS INTEGER) AS chapter, CAST(CASE WHEN chapter = s THEN v1 END AS DOUBLE) AS verse_start, CAST(CASE WHEN chapter = e THEN v2 END AS DOUBLE) AS verse_end FROM x""")
 def f8_expand_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expand_chapters(ranges(spark, sf_dir))
+    return maybe_int(expand_chapters(ranges(spark, sf_dir)), "verse_start", "verse_end")
 
 
 @query("f10_decision_rows", f"""WITH {RANGES}, w AS (SELECT DISTINCT p_brand AS name, 5 AS chapters FROM part WHERE p_brand <> 'Brand#9'),
 d AS (SELECT r.*, p_brand AS name FROM r JOIN part ON p_partkey = l_partkey),
 c AS (SELECT d.*, chapters, least(e, chapters) AS e2 FROM d JOIN w USING (name) WHERE s IS NULL OR s <= chapters),
 x AS (SELECT *, unnest(CASE WHEN s IS NULL THEN [0] ELSE range(s, e2 + 1) END) AS chapter FROM c)
-SELECT l_orderkey AS doc_id, lower(name) AS work, CAST(chapter AS INTEGER) AS chapter, CASE WHEN chapter = s THEN v1 END AS verse_start,
-  CASE WHEN chapter = e2 THEN v2 END AS verse_end FROM x""")
+SELECT l_orderkey AS doc_id, lower(name) AS work, CAST(chapter AS INTEGER) AS chapter, CAST(CASE WHEN chapter = s THEN v1 END AS DOUBLE) AS verse_start,
+  CAST(CASE WHEN chapter = e2 THEN v2 END AS DOUBLE) AS verse_end FROM x""")
 def f10_decision_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = tables.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("name"))
     decisions = ranges(spark, sf_dir).join(parts, "l_partkey").withColumnRenamed("l_orderkey", "doc_id")
     works = parts.where("name <> 'Brand#9'").select("name", F.lower("name").alias("slug"), F.lit(5).alias("chapters")).distinct()
-    return decision_rows(decisions, works)
+    return maybe_int(decision_rows(decisions, works), "verse_start", "verse_end")
 
 
 @query("r1_stems")
