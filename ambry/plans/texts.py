@@ -11,6 +11,7 @@ from ambry.functions import paragraphs as P
 from ambry.functions import snippets as S
 from ambry.functions import text as T
 from ambry.functions import values as V
+from ambry.functions.cleaning import clean_texts
 from ambry.operators import index
 from ambry.operators.listing import number_aware
 from ambry.plans import sqltext as q
@@ -201,6 +202,27 @@ pack AS (
 paras AS (SELECT doc_id, para, string_agg(sentence, ' ' ORDER BY i) AS body, CAST(sum(n) AS BIGINT) AS words FROM pack JOIN sw USING (doc_id, i) GROUP BY ALL)"""
 
 
+JOINTS = "([,;])\\s+((?:ou|e|mas|portanto|porém|entretanto|assim|pois|logo)(?:[^\\p{L}\\p{N}]|$))"
+BROKEN = f"regexp_replace(regexp_replace(s, '{JOINTS}', chr(1) || '\\2', 'g'), '{JOINTS}', chr(1) || '\\2', 'g')"
+
+
+def _count_sentences(expr: str) -> str:
+    marked = f"regexp_replace({expr}, '([.!?…][\"''”’)\\]]?)\\s+', '\\1' || chr(1), 'g')"
+    return f"len(list_filter(string_split({marked}, chr(1)), lambda s: trim(s) <> ''))"
+
+
+@query("f35_clean_metrics", f"""WITH RECURSIVE {PARAGRAPHS},
+c AS (SELECT doc_id, len(ss) AS before, array_to_string(list_transform(ss, lambda s: CASE WHEN len({q.words('s')}) <= 35 THEN upper(left(s, 1)) || substr(s, 2)
+  ELSE array_to_string(list_transform(string_split({BROKEN}, chr(1)), lambda p: upper(left(p, 1)) || substr(p, 2)), '. ') END), ' ') AS x FROM s0)
+SELECT doc_id, md5(x) AS cleaned_md5, CAST(len({q.words('x')}) AS INTEGER) AS words, CAST(before AS INTEGER) AS sentences_before,
+  CAST({_count_sentences('x')} AS INTEGER) AS sentences, round(CASE WHEN before > 0 THEN {_count_sentences('x')} / before ELSE 0 END, 9) AS sentence_ratio FROM c""")
+def f35_clean_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_texts(docs(spark, sf_dir)).select(
+        "doc_id", F.md5("cleaned").alias("cleaned_md5"), "words", "sentences_before", "sentences",
+        F.round("sentence_ratio", 9).alias("sentence_ratio"),
+    )
+
+
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = docs(spark, sf_dir).select("doc_id", "text", P.sentences(F.col("text")).alias("ss"))
     return split.select("doc_id", "text", P.paragraphs(F.col("ss")).alias("ps"))

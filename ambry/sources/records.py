@@ -57,6 +57,14 @@ def append_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def add_suggestion(spark: SparkSession, path: str, text: str) -> None:
+    """The one thing visitors write: a non-blank line, with the time it came."""
+    if not text.strip():
+        raise ValueError("an empty suggestion")
+    row = spark.createDataFrame([(text.strip(),)], "suggestion string")
+    append_json_lines(row.select(F.uuid().alias("id"), "suggestion", F.current_timestamp().alias("created_at")), path)
+
+
 def forget(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Records without the given ids; write them to a new place and switch over."""
     return rows.join(ids.select(key), key, "left_anti")

@@ -43,6 +43,18 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(file_name(F.col("_metadata.file_path")).alias("file"), "segments")
 
 
+SIDECAR = (
+    "id string, title string, description string, artist string, duration double, timestamp long, "
+    "view_count long, webpage_url string"
+)
+
+
+def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """(file, track fields) from one JSON document per track."""
+    raw = spark.read.schema(SIDECAR).option("multiLine", True).json(path)
+    return raw.select(file_name(F.col("_metadata.file_path")).alias("file"), *raw.columns)
+
+
 def spoken_words(alignments: DataFrame, key: str = "file") -> DataFrame:
     """(key, words): one row per segment, as ``quality.weighted_score`` reads them."""
     return alignments.select(key, F.explode("segments").alias("s")).select(key, F.col("s.words").alias("words"))

@@ -137,3 +137,59 @@ def test_site(frame):
     assert got == [("2024-01-01", "2024-12-31"), ("2024-02-01", "2024-02-29")] + [("None", "None")] * 3
     head = frame([('T "q"', "d", "/p")], "t string, d string, p string")
     assert "<title>T &quot;q&quot;</title>" in head.select(site.page_head(F.col("t"), F.col("d"), F.col("p"), "https://x")).first()[0]
+
+
+def test_cleaning(frame):
+    from ambry.functions.cleaning import clean_texts
+
+    long = "um " * 34 + "fim, e depois, porém tarde; existe."
+    got = clean_texts(frame([(f"olá mundo, e só. {long}",), ("",)], "text string")).collect()
+    tail = "Um " + "um " * 33 + "fim. E depois. Porém tarde; existe."
+    assert got[0].cleaned == f"Olá mundo, e só. {tail}"
+    assert (got[0].sentences_before, got[0].sentences, got[0].sentence_ratio) == (2, 4, 2.0)
+    assert (got[1].words, got[1].sentence_ratio) == (0, 0.0)
+
+
+def test_pages_are_read_side_by_side(spark):
+    from ambry.sources.paged import PagedSource
+
+    class Numbers(PagedSource):
+        page_size = 4
+
+        @classmethod
+        def name(cls):
+            return "numbers"
+
+        def schema(self):
+            return "n int"
+
+        def total(self):
+            return 10
+
+        def fetch(self, offset, limit):
+            return [(n,) for n in range(offset, min(offset + limit, 10))]
+
+    spark.dataSource.register(Numbers)
+    rows = spark.read.format("numbers").load()
+    assert sorted(r.n for r in rows.collect()) == list(range(10))
+
+
+def test_suggestions_sidecars_and_forgetting(spark, frame, tmp_path):
+    path = str(tmp_path / "s")
+    records.add_suggestion(spark, path, " mais temas ")
+    try:
+        records.add_suggestion(spark, path, "  ")
+        raise AssertionError
+    except ValueError:
+        pass
+    back = records.read_json_lines(spark, path, "id string, suggestion string, created_at timestamp")
+    assert [r.suggestion for r in back.collect()] == ["mais temas"]
+    assert records.forget(back, back.select("id")).count() == 0
+    (tmp_path / "T [7].info.json").write_text('{"id": "7", "duration": 3.5, "other": 1}')
+    side = transcripts.read_sidecars(spark, str(tmp_path / "*.info.json")).first()
+    assert (side.file, side.id, side.duration, side.title) == ("T [7].info.json", "7", 3.5, None)
+    try:
+        records.write_checked(frame([], "i int"), str(tmp_path / "w"))
+        raise AssertionError
+    except ValueError:
+        pass
