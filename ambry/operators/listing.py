@@ -40,11 +40,11 @@ def leaf(items: DataFrame, cap: int = LEAF_CAP) -> DataFrame:
 def with_references(rows: DataFrame, refs: DataFrame, works: DataFrame) -> DataFrame:
     """Listed items with their references, one row per reference.
 
-    The references are first narrowed to the page, whose few rows travel to
-    them; items without any reference keep one row.
+    The references are first narrowed to the page: Spark knows its limit and
+    sends the few rows to them. Items without any reference keep one row.
     """
     child = (
-        refs.join(F.broadcast(rows.select("item_id")), "item_id", "left_semi")
+        refs.join(rows.select("item_id"), "item_id", "left_semi")
         .join(works, "work").select("item_id", "work", "position", "chapter").distinct()
     )
     return rows.join(child, "item_id", "left")

@@ -41,7 +41,7 @@ def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
-    """The part names as works: a closed list, read once like the reference's catalogue."""
+    """The part names as works: a closed list of spellings, read once."""
     names = tables.load(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("position")).collect()
     return Catalogue(Work(r.position, r.p_name.replace(" ", "-"), r.p_name, CHAPTERS) for r in names)
 
