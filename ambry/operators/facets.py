@@ -82,6 +82,24 @@ def kind_counts(items: DataFrame) -> DataFrame:
     return items.where(F.col("kind").isNotNull()).groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
 
 
+def facet_tree(
+    items: DataFrame, refs: DataFrame, works: DataFrame, collections: DataFrame, topics: DataFrame
+) -> dict[str, DataFrame]:
+    """All facets of a catalogue, one lazy DataFrame each.
+
+    collections (collection, ...) and topics (topic, ...) keep members without items.
+    """
+    labels = refs.select("item_id", "topic").distinct()
+    return {
+        "works": work_tree(works, refs),
+        "collections": child_counts(collections, items, "collection", "item_id"),
+        "people": person_counts(items),
+        "dates": year_month_tree(items),
+        "kinds": kind_counts(items),
+        "topics": child_counts(topics, labels, "topic", "item_id"),
+    }
+
+
 def drill_sideways(items: DataFrame, refs: DataFrame, f: Filters) -> DataFrame:
     """(dimension, value, total): each dimension counted under all filters but its own.
 
@@ -131,7 +149,17 @@ def drill_sideways(items: DataFrame, refs: DataFrame, f: Filters) -> DataFrame:
     )
 
 
+def options(members: DataFrame, counts: DataFrame) -> DataFrame:
+    """(dimension, value, label, total): every member of the tree with its current count.
+
+    ``members`` is (dimension, value, label), ``counts`` comes from ``drill_sideways``.
+    """
+    return members.join(counts, ["dimension", "value"], "left").withColumn(
+        "total", F.coalesce("total", F.lit(0).cast("long"))
+    )
+
+
 __all__ = [
-    "DIMENSIONS", "child_counts", "drill_sideways", "kind_counts", "month_counts",
-    "person_counts", "work_chapters", "work_totals", "work_tree", "year_month_tree",
+    "DIMENSIONS", "child_counts", "drill_sideways", "facet_tree", "kind_counts", "month_counts",
+    "options", "person_counts", "work_chapters", "work_totals", "work_tree", "year_month_tree",
 ]

@@ -74,6 +74,23 @@ class Filters:
     def count(self) -> int:
         return sum(len(getattr(self, k)) for k in LISTS) + bool(self.since or self.until)
 
+    def range_label(self) -> str | None:
+        """A single year, or the bounds that are set."""
+        if self.since and self.until and self.since[:4] == self.until[:4]:
+            return self.since[:4]
+        said = [f"de {self.since}" if self.since else "", f"até {self.until}" if self.until else ""]
+        return " ".join(s for s in said if s) or None
+
+    def chips(self, labels: Mapping[tuple[str, str], str]) -> list[tuple[str, str, str]]:
+        """(dimension, value, label) of every chosen value; the chapter is shown with its work."""
+        out = []
+        for key in LISTS:
+            for value in getattr(self, key):
+                label = labels.get((key, value), value)
+                out.append((key, value, f"{label} {self.chapter}" if key == "works" and self.chapter else label))
+        period = self.range_label()
+        return out + ([("years", period, period)] if period else [])
+
     def validate(self) -> Filters:
         for key, cap in LIST_CAPS.items():
             if len(getattr(self, key)) > cap:

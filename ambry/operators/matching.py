@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ambry.operators.quality import liveness_check, require_live_feed
 from ambry.session import cut
 
 ANCHOR = 16
@@ -193,6 +194,17 @@ def feed_slugs(feeds: DataFrame, pattern: str) -> DataFrame:
     return first.select("slug", "p.feed", "p.nth")
 
 
+def refresh_liveness(records: DataFrame, feeds: DataFrame, previous: DataFrame, pattern: str) -> DataFrame:
+    """``liveness`` behind its guards: a short feed or a sudden jump of dead links raises."""
+    slugs = cut(feed_slugs(feeds, pattern))
+    require_live_feed(slugs)
+    fresh = cut(liveness(records, slugs))
+    row = liveness_check(previous, fresh).first()
+    if row.refused:
+        raise ValueError(f"dead links would jump from {row.before:.1%} to {row.after:.1%}; refused")
+    return fresh
+
+
 def liveness(records: DataFrame, slugs: DataFrame) -> DataFrame:
     """(id, episode, alive) for records that have an episode: is their link in the feed?"""
     live = slugs.select("slug").distinct().withColumn("_live", F.lit(True))

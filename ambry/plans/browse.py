@@ -137,6 +137,20 @@ def a9_counts_unfiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.drill_sideways(tables.items(spark, sf_dir), tables.item_refs(spark, sf_dir), Filters())
 
 
+@query("f41_facet_options", f"""WITH c AS ({sideways_sql(FLAGS)}),
+m AS (SELECT DISTINCT 'works' AS dimension, p_brand AS value, 'Livro ' || regexp_extract(p_brand, '([0-9]+)$', 1) AS label FROM part
+      UNION ALL SELECT DISTINCT 'topics', p_type, lower(p_type) FROM part)
+SELECT m.*, coalesce(c.total, 0) AS total FROM m LEFT JOIN c USING (dimension, value)""")
+def f41_facet_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    works = tables.works(spark, sf_dir).select(
+        F.lit("works").alias("dimension"), F.col("work").alias("value"),
+        F.concat(F.lit("Livro "), F.col("position").cast("string")).alias("label"))
+    topics = tables.load(spark, sf_dir, "part").select(
+        F.lit("topics").alias("dimension"), F.col("p_type").alias("value"), F.lower("p_type").alias("label")).distinct()
+    counts = facets.drill_sideways(tables.items(spark, sf_dir), tables.item_refs(spark, sf_dir), CHOSEN)
+    return facets.options(works.unionByName(topics), counts)
+
+
 @query("p4_restrict", f"{W}, {FLAGS} SELECT item_id, CAST(date AS VARCHAR) AS date FROM flags WHERE k AND c AND w AND t AND d")
 def p4_restrict(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = restrict(tables.items(spark, sf_dir), tables.item_refs(spark, sf_dir), CHOSEN)

@@ -14,6 +14,7 @@ from ambry.operators.filters import SearchRequest
 from ambry.plans import browse, search
 from ambry.plans import sqltext as q
 from ambry.plans.registry import maybe_int, query
+from ambry.plans.texts import PARAGRAPHS
 
 W = browse.W
 
@@ -184,7 +185,19 @@ def r14_vector_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.vectors(spark, sf_dir).select("doc_id", F.md5(vector_text(F.col("embedding"))).alias("text_md5"))
 
 
-@query("r18_sentence_chunks")
+@query("r18_sentence_chunks", f"""WITH RECURSIVE {PARAGRAPHS},
+fill AS (
+  SELECT doc_id, i, 0 AS chunk, n AS total FROM sw WHERE i = 1
+  UNION ALL
+  SELECT sw.doc_id, sw.i, CASE WHEN f.total >= 200 AND f.total + sw.n > 200 THEN f.chunk + 1 ELSE f.chunk END,
+         CASE WHEN f.total >= 200 AND f.total + sw.n > 200 THEN sw.n ELSE f.total + sw.n END
+  FROM fill f JOIN sw ON sw.doc_id = f.doc_id AND sw.i = f.i + 1),
+whole AS (SELECT doc_id, chunk, {q.words("string_agg(sentence, ' ' ORDER BY i)")} AS w FROM fill JOIN sw USING (doc_id, i) GROUP BY ALL),
+sized AS (SELECT *, CASE WHEN len(w) > 250 THEN CAST(ceil(len(w) / 200.0) AS BIGINT) ELSE 1 END AS parts FROM whole),
+cut AS (SELECT doc_id, chunk, w, len(w) // parts AS each, unnest(range(parts)) AS j FROM sized),
+piece AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk, j) - 1 AS idx, w[j * each + 1 : (j + 1) * each] AS w FROM cut),
+paired AS (SELECT doc_id, idx, w, lead(w) OVER (PARTITION BY doc_id ORDER BY idx) AS nxt FROM piece)
+SELECT doc_id, CAST(idx AS INTEGER) AS chunk_index, md5(array_to_string(list_concat(w, nxt[1:30]), ' ')) AS content_md5 FROM paired WHERE nxt IS NOT NULL""")
 def r18_sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = index.sentence_chunk(tables.corpus(spark, sf_dir))
     return found.select("doc_id", "chunk_index", F.md5("content").alias("content_md5"))

@@ -193,3 +193,21 @@ def test_suggestions_sidecars_and_forgetting(spark, frame, tmp_path):
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_liveness_is_refused_on_a_short_feed_and_on_a_jump(frame):
+    from ambry.operators import matching
+
+    link = r'https://a\.example/chan/([^<"\s]+)'
+    feed = lambda n: frame([(1, " ".join(f"<u>https://a.example/chan/t{i}</u>" for i in range(n)))], "feed int, body string")
+    records_ = frame([(i, f"e{i}" if i else " ", f"t{i * 20}") for i in range(7)], "id int, episode string, slug string")
+    before = frame([(True,)] * 4, "alive boolean")
+    got = matching.refresh_liveness(records_, feed(121), before, link)
+    # record 0 has no episode
+    assert {r.id: r.alive for r in got.collect()} == dict.fromkeys(range(1, 7), True)
+    for bad_feed, previous in ((feed(99), before), (feed(101), before)):
+        try:
+            matching.refresh_liveness(records_.withColumn("slug", F.lit("gone")), bad_feed, previous, link)
+            raise AssertionError
+        except ValueError:
+            pass

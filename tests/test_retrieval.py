@@ -155,6 +155,9 @@ def test_filter_algebra_and_validation():
     assert Filters(works=("gn",), chapter=2).drop("works", "gn") == Filters()
     assert f.with_year(2020).without_dates().until is None
     assert Filters.from_params(g.to_params()) == g
+    assert f.chips({("people", "a"): "Ana"}) == [
+        ("people", "a", "Ana"), ("people", "b", "b"), ("years", "até 2024-01-31", "até 2024-01-31")]
+    assert Filters(works=("gn",), chapter=3).with_year(2020).chips({}) == [("works", "gn", "gn 3"), ("years", "2020", "2020")]
     for bad in (SearchRequest("x"), SearchRequest("ok", 51), ListRequest(page=0), ListRequest(sort="size"),
                 ListRequest(Filters(works=("a",), chapter=151)), ListRequest(Filters(kinds=tuple("abcdefghijk")))):
         with pytest.raises(ValueError):
@@ -173,3 +176,18 @@ def test_year_totals_and_number_order(frame):
         (3, 1, 2), (1, 1, 2), (12, 1, 1)]
     names = frame([("Parte 10",), ("parte 9",), ("Párte 2b",)], "name string")
     assert [r.name for r in names.orderBy(number_aware(F.col("name"))).collect()] == ["Párte 2b", "parte 9", "Parte 10"]
+
+
+def test_facet_tree_keeps_empty_members_and_hides_chapter_zero(frame):
+    from ambry.operators.facets import facet_tree
+
+    items, refs = browse(frame)
+    works = frame([("gn", "old", 1), ("ex", "old", 2)], "work string, section string, position int")
+    tree = facet_tree(items, refs, works, frame([("s",), ("none",)], "collection string"), frame([("fe",), ("paz",)], "topic string"))
+    rows = {name: df.collect() for name, df in tree.items()}
+    chapters = {r.work: [(c.chapter, c.total) for c in r.chapters] for r in rows["works"]}
+    assert chapters == {"gn": [(1, 1), (2, 1), (5, 1)], "ex": []}
+    assert {r.work: r.total for r in rows["works"]} == {"gn": 2, "ex": 1}
+    assert {r.collection: r.total for r in rows["collections"]} == {"s": 2, "none": 0}
+    assert {r.topic: r.total for r in rows["topics"]} == {"fe": 2, "paz": 0}
+    assert {r.person: r.total for r in rows["people"]} == {"P": 2, "Q": 1}
