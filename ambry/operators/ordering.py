@@ -111,9 +111,12 @@ def spread(df: DataFrame, count: int, *order: str) -> DataFrame:
     return sized.where(taken | (F.col("_n") <= count)).drop("_n", "_block")
 
 
-def grouped_median(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Exact median of ``value`` per group: the middle one or two rows by position."""
-    placed = with_position(df.select(*group, value), *group, value)
+def grouped_median(df: DataFrame, group: list[str], value: str, tie: str) -> DataFrame:
+    """Exact median of ``value`` per group: the middle one or two rows by position.
+
+    ``tie`` is unique, so even a value that a third of the rows share is split.
+    """
+    placed = with_position(df.select(*group, value, tie), *group, value, tie)
     spans = placed.groupBy(*group).agg(F.min("position").alias("_from"), F.count(F.lit(1)).alias("_n"))
     middle = F.array_distinct(
         F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))

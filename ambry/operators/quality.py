@@ -50,9 +50,9 @@ def content_seconds(stamps: DataFrame, key: str, at: str, tie: str) -> DataFrame
     """Stamps times their median interval per key; null below two stamps."""
     placed = with_position(stamps.select(key, at, tie), key, at, tie)
     gaps = carry_last(placed, [key], F.col(at), "_prev", inclusive=False)
-    deltas = gaps.where("_prev IS NOT NULL").select(key, (F.col(at) - F.col("_prev")).alias("delta"))
+    deltas = gaps.where("_prev IS NOT NULL").select(key, tie, (F.col(at) - F.col("_prev")).alias("delta"))
     counts = stamps.groupBy(key).agg(F.count(F.lit(1)).alias("stamps"))
-    return counts.join(grouped_median(deltas, [key], "delta"), key, "left").select(
+    return counts.join(grouped_median(deltas, [key], "delta", tie), key, "left").select(
         key, "stamps", F.when(F.col("median") > 0, F.col("stamps") * F.col("median")).alias("seconds")
     )
 

@@ -45,7 +45,7 @@ def test_position_carry_median_and_shards(spark):
         last = (g, i) if i % 10 == 0 else (g, last[1] if last[0] == g else None)
         want[i] = last[1]
     assert {r.i: r["x"] for r in ordering.carry_last(placed, ["g"], value, "x").collect()} == want
-    medians = {r.g: r["median"] for r in ordering.grouped_median(rows, ["g"], "v").collect()}
+    medians = {r.g: r["median"] for r in ordering.grouped_median(rows, ["g"], "v", "i").collect()}
     assert medians == {g: statistics.median(v for h, v, _ in data if h == g) for g in "ab"}
     for count in (1, 7, 300, 301):
         shards = [r.shard for r in ordering.shard(rows, count, "i").orderBy("i").collect()]
@@ -211,3 +211,17 @@ def test_liveness_is_refused_on_a_short_feed_and_on_a_jump(frame):
             raise AssertionError
         except ValueError:
             pass
+
+
+def test_a_busy_key_is_spread_over_blocks(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id")).alias("key"), F.lit(5).alias("v"), F.col("id").alias("i"))
+    # rows this few would be merged into one task again; keep the range partitions apart to see them
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = ordering.with_position(rows.repartition(6), "key", "v", "i")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    busy = placed.where("key = 0").groupBy("_block").count().collect()
+    # two thirds of the rows share a key and a value; no block may hold more than its fair part of them
+    assert len(busy) > 2 and max(r["count"] for r in busy) < 1000
