@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ambry import tables
 from ambry.functions.references import Catalogue, Work, decision_rows, expand_chapters, find_work, parse_reference
-from ambry.functions.stem import stem
+from ambry.functions import stem as S
 from ambry.functions.titles import parse_title
 from ambry.operators import index, postings
 from ambry.operators.retrieval import LexicalQuery
+from ambry.plans import sqltext as q
 from ambry.plans.registry import maybe_int, query
 from ambry.session import scratch_path
 
@@ -29,13 +30,13 @@ def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = tables.load(spark, sf_dir, "part").select("p_partkey", "p_name")
     orders = tables.load(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd-MM-yyyy").alias("day"))
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    k, q, n = F.col("l_linenumber") % 5, F.col("qty").cast("string"), F.col("p_name")
+    k, amount, n = F.col("l_linenumber") % 5, F.col("qty").cast("string"), F.col("p_name")
     title = (
-        F.when(k == 0, F.format_string("%s - EBD - %s course - Aula %s", "day", n, q))
-        .when(k == 1, F.format_string("%s - %s %s.5-7", "day", n, q))
-        .when(k == 2, F.concat(F.lit("IV Congresso Alfa - "), F.replace("day", F.lit("-"), F.lit("/")), F.lit(" - "), n, F.lit(" "), q, F.lit(" (pt 2)")))
+        F.when(k == 0, F.format_string("%s - EBD - %s course - Aula %s", "day", n, amount))
+        .when(k == 1, F.format_string("%s - %s %s.5-7", "day", n, amount))
+        .when(k == 2, F.concat(F.lit("IV Congresso Alfa - "), F.replace("day", F.lit("-"), F.lit("/")), F.lit(" - "), n, F.lit(" "), amount, F.lit(" (pt 2)")))
         .when(k == 3, F.format_string("%s - CFW 0%s - tema", "day", F.col("l_linenumber").cast("string")))
-        .otherwise(F.format_string("%s - EBD - %s %s, 12 e 14", "day", F.upper(n), q))
+        .otherwise(F.format_string("%s - EBD - %s %s, 12 e 14", "day", F.upper(n), amount))
     )
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", title.alias("title"))
 
@@ -116,17 +117,69 @@ def f10_decision_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maybe_int(decision_rows(decisions, works), "verse_start", "verse_end")
 
 
-@query("r1_stems")
+def _ends(expr: str, endings: list[str]) -> str:
+    return f"regexp_extract({expr}, '(?:{'|'.join(sorted(endings, key=len, reverse=True))})$', 0)"
+
+
+def _inside(word: str, ending: str, region: str) -> str:
+    return f"({ending} <> '' AND length({word}) - length({ending}) >= {region})"
+
+
+def _less(word: str, ending: str) -> str:
+    return f"left({word}, length({word}) - length({ending}))"
+
+
+def _also(endings: list[str]) -> str:
+    more = _ends("c", endings)
+    return f"CASE WHEN {_inside('c', more, 'r2')} THEN {_less('c', more)} ELSE c END"
+
+
+SYLLABLES = "^[^aeiou]*[aeiou]+[^aeiou]"
+STEMS = f"""
+words AS (SELECT DISTINCT unnest({q.tokens('content')}) AS w FROM chunks),
+a AS (SELECT w, length(w) AS n, length(regexp_extract(w, '{SYLLABLES}', 0)) AS h,
+  CASE WHEN NOT regexp_matches(substr(w, 2, 1), '[aeiou]') THEN length(regexp_extract(w, '^..[^aeiou]*[aeiou]', 0))
+       WHEN regexp_matches(left(w, 1), '[aeiou]') THEN length(regexp_extract(w, '^..[aeiou]*[^aeiou]', 0))
+       WHEN length(w) >= 3 THEN 3 ELSE 0 END AS v FROM words),
+b AS (SELECT w, n, CASE WHEN h > 0 THEN h ELSE n END AS r1, CASE WHEN v > 0 THEN v ELSE n END AS rv FROM a),
+d AS (SELECT *, length(regexp_extract(substr(w, r1 + 1), '{SYLLABLES}', 0)) AS h2 FROM b),
+f AS (SELECT *, CASE WHEN h2 > 0 THEN r1 + h2 ELSE n END AS r2,
+  {_ends('w', [*S.STANDARD, *S.LOGIC, S.ADVERB_A, S.ADVERB, *S.STATE, *S.ACTIVE, *S.AGENT])} AS e FROM d),
+g AS (SELECT *, {_less('w', 'e')} AS c, {_inside('w', 'e', 'r2')} AS in2 FROM f),
+one AS (SELECT *, CASE
+  WHEN e IN {q.in_list(S.STANDARD)} AND in2 THEN c
+  WHEN e IN {q.in_list(S.LOGIC)} AND in2 THEN c || 'log'
+  WHEN e = 'amente' AND {_inside('w', 'e', 'r1')} THEN
+    CASE WHEN c LIKE '%ativ' AND length(c) - 4 >= r2 THEN left(c, length(c) - 4) ELSE {_also(['iv', 'os', 'ic', 'ad'])} END
+  WHEN e = 'mente' AND in2 THEN {_also(['ante'])}
+  WHEN e IN {q.in_list(S.STATE)} AND in2 THEN {_also(['abil', 'ic', 'iv'])}
+  WHEN e IN {q.in_list(S.ACTIVE)} AND in2 THEN {_also(['at'])}
+  WHEN e IN {q.in_list(S.AGENT)} AND {_inside('w', 'e', 'rv')} AND c LIKE '%e' THEN c || 'ir' END AS s1 FROM g),
+two AS (SELECT *, {_ends('substr(w, rv + 1)', S.VERB)} AS verb FROM one),
+three AS (SELECT *, coalesce(s1, CASE WHEN verb <> '' THEN {_less('w', 'verb')} END) AS ch, {_ends('w', ['os', 'a', 'i', 'o'])} AS rest FROM two),
+four AS (SELECT *, CASE WHEN ch IS NOT NULL THEN CASE WHEN ch LIKE '%ci' AND length(ch) - 1 >= rv THEN left(ch, length(ch) - 1) ELSE ch END
+  WHEN {_inside('w', 'rest', 'rv')} THEN {_less('w', 'rest')} ELSE w END AS s FROM three),
+stems AS (SELECT w AS word, CASE WHEN s LIKE '%e' AND length(s) - 1 >= rv THEN
+  CASE WHEN (s LIKE '%gue' OR s LIKE '%cie') AND length(s) - 2 >= rv THEN left(s, length(s) - 2) ELSE left(s, length(s) - 1) END ELSE s END AS stem FROM four)"""
+
+
+@query("r1_stems", f"WITH {q.CHUNKS}, {STEMS} SELECT * FROM stems")
 def r1_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus vocabulary with its stems."""
     found = index.chunk(tables.corpus(spark, sf_dir), with_tokens=True)
     words = found.select(F.explode("tokens").alias("word")).distinct()
-    return stem(words)
+    return S.stem(words)
+
+
+STEM_TERMS = ("tion", "heron", "que", "ueez")
 
 
-@query("r2_postings_search")
+@query("r2_postings_search", f"""WITH {q.CHUNKS}, {STEMS},
+spoken AS (SELECT doc_id, chunk_index, unnest({q.tokens('content')}) AS word FROM chunks),
+n AS (SELECT doc_id, chunk_index, count(*) AS hits FROM spoken JOIN stems USING (word) WHERE stem IN {q.in_list(list(STEM_TERMS))} GROUP BY ALL)
+SELECT doc_id, chunk_index, hits, CAST(row_number() OVER (ORDER BY hits DESC, doc_id, chunk_index) AS INTEGER) AS rank FROM n ORDER BY rank LIMIT 80""")
 def r2_postings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search by stem over the inverted index of all passages."""
     found = index.chunk(tables.corpus(spark, sf_dir), with_tokens=True)
     stored = postings.store_postings(postings.build_postings(found), scratch_path(spark, "postings"))
-    return postings.postings_arm(stored, LexicalQuery(("tion", "heron", "que", "ueez")), 80)
+    return postings.postings_arm(stored, LexicalQuery(STEM_TERMS), 80)
