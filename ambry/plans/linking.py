@@ -176,12 +176,11 @@ def j14_resolve_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("j9_retired_slugs", """
-SELECT 'c' || c_custkey AS slug FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+SELECT 'c' || c_custkey AS slug FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def j9_retired_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda c: F.concat(F.lit("c"), F.col(c)).alias("slug")
-    return merging.retired(
-        tables.load(spark, sf_dir, "customer").select(name("c_custkey")), tables.load(spark, sf_dir, "orders").select(name("o_custkey"))
-    )
+    urgent = tables.load(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return merging.retired(tables.load(spark, sf_dir, "customer").select(name("c_custkey")), urgent.select(name("o_custkey")))
 
 
 CONFIGS = ["A", "N", "R"]
