@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ambry.llm import minhash, packing
+from ambry.llm import language, minhash, packing
 from ambry.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def fold(parts: int) -> Column:
+    """The remainder that decides which documents are held out."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents")).select(
@@ -34,3 +40,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), words=3, similarity=Fraction(85, 100))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = language.learn(docs.where(fold(4) != 2))
+    return language.identify(docs, filters).select(
+        "doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "coverage"
+    )
