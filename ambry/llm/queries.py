@@ -8,7 +8,9 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambry.llm import language, minhash, packing
+from ambry.llm import language, minhash, packing, secrets
+from ambry.llm.batches import map_columns
+from ambry.llm.spans import digest, joined
 from ambry.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +51,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, filters).select(
         "doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "coverage"
     )
+
+
+def span_digests(found: DataFrame, base_kinds: list[str], kinds: list[str]) -> DataFrame:
+    """Counts, digest and list of the spans in ``base`` and ``added``."""
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in base_kinds) + ", base_sha256 string, spans string"
+
+    def make():
+        def apply(ids, base, added):
+            fixed = [[(s["start"], s["end"], s["kind"]) for s in row] for row in base]
+            more = [[(s["start"], s["end"], s["kind"]) for s in row] for row in added]
+            out = {"doc_id": ids, "base_sha256": [digest(joined(row, base_kinds)) for row in fixed]}
+            for kind in base_kinds:
+                out[f"n_{kind}"] = [sum(s[2] == kind for s in row) for row in fixed]
+            out["spans"] = [joined(row + extra, kinds) for row, extra in zip(fixed, more, strict=True)]
+            return out
+
+        return apply
+
+    return map_columns(found, make, schema)
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(docs))
+    return span_digests(found, secrets.KINDS[:3], secrets.KINDS)
