@@ -8,9 +8,10 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambry.llm import language, minhash, packing, secrets
+from ambry.llm import decontamination, language, minhash, packing, records, secrets
 from ambry.llm.batches import map_columns
 from ambry.llm.spans import digest, joined
+from ambry.session import scratch_path
 from ambry.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +33,11 @@ def fold(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+@query("op2_benchmark_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents")).select(
@@ -44,6 +50,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), words=3, similarity=Fraction(85, 100))
 
 
+@query("op8_token_records")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = records.write(load(spark, sf_dir, "documents"), scratch_path(spark, "token-records"))
+    return records.read_digests(spark, folder)
+
+
 @query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
