@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -19,7 +20,7 @@ def slices(batch: pa.RecordBatch, text: int | None, rows: int, chars: int) -> It
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    sizes = pyarrow.compute.fill_null(pyarrow.compute.binary_length(batch.column(text)), 0).to_pylist()
     begun, held = 0, 0
     for at, size in enumerate(sizes):
         if at > begun and (at - begun >= rows or held + size > chars):
@@ -45,8 +46,6 @@ def map_columns(
     at = df.columns.index(text) if text else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401  binary_length is found there
-
         out = to_arrow_schema(kind)
         apply = make()
         for batch in batches:
@@ -57,3 +56,36 @@ def map_columns(
                 )
 
     return df.mapInArrow(run, kind)
+
+
+def filter_rows(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]], column: str = "text") -> DataFrame:
+    """The rows of ``df`` whose ``column`` passes; all columns stay as they are, whatever their names.
+
+    ``make`` runs once per task; what it returns gets the values of a slice and
+    says which of them stay.
+    """
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = make()
+        for batch in batches:
+            for piece in slices(batch, at, ROWS, CHARS):
+                yield piece.filter(pa.array(passes(piece.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def replace_column(df: DataFrame, make: Callable[[], Callable[[list], list]], column: str = "text") -> DataFrame:
+    """``df`` with the strings of ``column`` made anew from themselves, slice by slice."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = make()
+        for batch in batches:
+            for piece in slices(batch, at, ROWS, CHARS):
+                values = pa.array(change(piece.column(at).to_pylist()), piece.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(
+                    [values if i == at else c for i, c in enumerate(piece.columns)], schema=piece.schema
+                )
+
+    return df.mapInArrow(run, df.schema)

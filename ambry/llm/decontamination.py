@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ambry.llm.batches import map_columns
+from ambry.llm.batches import filter_rows, map_columns
 
 Q = 8
 ERROR = 0.1
@@ -273,21 +273,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no passage of the benchmark is found; all columns stay."""
-    names = docs.columns
     for index in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def make(shared=shared):
             find = shared.value.find
+            return lambda texts: [not find(t) for t in texts]
 
-            def apply(*columns):
-                clean = [not find(text) for text in columns[names.index("text")]]
-                return {
-                    name: [v for v, good in zip(values, clean, strict=True) if good]
-                    for name, values in zip(names, columns, strict=True)
-                }
-
-            return apply
-
-        docs = map_columns(docs, make, docs.schema, text="text")
+        docs = filter_rows(docs, make)
     return docs

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ambry.llm.batches import map_columns
+from ambry.llm.batches import filter_rows, map_columns
 
 UNDETERMINED = "und"
 ORDERS = (3, 4)
@@ -200,3 +200,23 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     return map_columns(
         docs.select("doc_id", "text"), make, "doc_id long, lang_pred string, score double, coverage double", text="text"
     )
+
+
+def in_known_language(docs: DataFrame, filters: Filters, coverage: float = 0.1) -> DataFrame:
+    """The rows of ``docs`` whose text is in a language that the filters know; all columns stay.
+
+    Rejected are texts without a letter, and those of which no language
+    contains the share ``coverage`` of n-grams beyond chance.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def make():
+        model = shared.value
+
+        def known(text):
+            lang, _, covered = model.identify(text)
+            return lang != UNDETERMINED and covered >= coverage
+
+        return lambda texts: [known(t) for t in texts]
+
+    return filter_rows(docs, make)

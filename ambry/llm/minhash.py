@@ -284,3 +284,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: Fraction =
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     ).unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, the one with the least doc_id.
+
+    All columns stay. Of rows that repeat both doc_id and text one stays;
+    rows without words, and those without a doc_id, all stay.
+    """
+    copies = near_duplicates(docs, words, similarity).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
+    dropped = cut(copies.distinct())
+    twice = cut(
+        docs.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id", F.xxhash64("text").alias("_h"))
+        .agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id").distinct()
+    )
+    rest = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    single = rest.join(twice, "doc_id", "left_anti")
+    repeated = rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated).select(docs.columns)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ambry.llm.batches import map_columns
+from ambry.llm.batches import map_columns, replace_column
 from ambry.llm.spans import Covered, Span, matches
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -315,9 +315,11 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
 
 
 def redact(docs: DataFrame, scanner: Scanner, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping ones by one mark."""
+    """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping ones by one mark.
+
+    All other columns stay as they are, and so do null texts.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(scanner)
-    names = docs.columns
 
     def make():
         spans = shared.value.spans
@@ -331,11 +333,6 @@ def redact(docs: DataFrame, scanner: Scanner, mark: str = "[SECRET]") -> DataFra
                 at = max(at, end)
             return "".join([*out, text[at:]]) if at else text
 
-        def apply(*columns):
-            out = dict(zip(names, columns, strict=True))
-            out["text"] = [clean(t) for t in out["text"]]
-            return out
-
-        return apply
+        return lambda texts: [clean(t) for t in texts]
 
-    return map_columns(docs, make, docs.schema, text="text")
+    return replace_column(docs, make)
