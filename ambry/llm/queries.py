@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambry.llm import decontamination, language, minhash, packing, records, secrets
+from ambry.llm import decontamination, language, minhash, packing, records, secrets, toxicity
 from ambry.llm.batches import map_columns
 from ambry.llm.spans import digest, joined
 from ambry.session import scratch_path
@@ -50,6 +50,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), words=3, similarity=Fraction(85, 100))
 
 
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load(spark, sf_dir, "labels").where(fold(3) != 1)
+    return toxicity.score(docs, toxicity.learn(docs, labels)).select(
+        "doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "n_hits",
+    )
+
+
 @query("op8_token_records")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = records.write(load(spark, sf_dir, "documents"), scratch_path(spark, "token-records"))
