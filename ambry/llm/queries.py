@@ -8,8 +8,9 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambry.llm import decontamination, language, minhash, packing, records, secrets, toxicity
+from ambry.llm import decontamination, language, minhash, packing, quality, records, secrets, toxicity
 from ambry.llm.batches import map_columns
+from ambry.llm.quality_sql import RULES
 from ambry.llm.spans import digest, joined
 from ambry.session import scratch_path
 from ambry.tables import load
@@ -38,6 +39,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+@query("op3_quality_rules", RULES)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents")).select(
