@@ -6,9 +6,12 @@ the threshold is missed with a probability of at most ``MISS``. Candidates
 pass an estimate from their signatures and are then confirmed on full sets.
 
 Within a bucket nobody meets everybody: all are first held against the least
-member. Components of those links are found, and only members of different
-components that still share a bucket are compared with each other, since a
-link inside a component cannot change it.
+member, and components of those links are found. A link inside a component
+cannot change it, so only buckets with members of several components are left.
+Their members are compared where they share a shingle so rare, and so early
+in the order from rare to common, that the similarity is still possible: this
+prefix and position test loses no pair, and copies that all share their common
+part but are not similar enough do not meet.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import math
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,7 @@ MISS = 1e-6
 HASHES = 360
 SEED = 20_240_229
 CACHED_WORDS = 400_000
+RARITY_BITS = 20
 PROFILE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
 
 
@@ -207,6 +212,61 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: Fracti
     return map_columns(both, make, "a long, b long", text="text_a")
 
 
+def _rarity(texts: DataFrame, words: int) -> np.ndarray:
+    """How often shingles occur in ``texts``, in a table of fixed size that many share.
+
+    A task adds up its own rows and hands over one number per used slot.
+    """
+
+    def run(batches):
+        shingle = Shingler(words)
+        total = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(total, _slot(shingle(text)), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
+
+    seen = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = seen.toArrow()
+    table = np.zeros(1 << RARITY_BITS, np.int64)
+    table[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return table
+
+
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+
+def _prefixes(texts: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """(doc_id, n, shingle, at): the rarest shingles of each set, as many as a similar set must share one of.
+
+    Any total order over shingles keeps this exact; one from rare to common keeps it short.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(_rarity(texts, words))
+    top, bottom = similarity.numerator, similarity.denominator
+
+    def make():
+        shingle, table = Shingler(words), shared.value
+
+        def apply(ids, rows):
+            out = {"doc_id": [], "n": [], "shingle": [], "at": []}
+            for doc_id, text in zip(ids, rows, strict=True):
+                found = shingle(text)
+                n = int(found.size)
+                length = n - -(-top * n // bottom) + 1
+                first = found[np.lexsort((found, table[_slot(found)]))[:length]]
+                out["doc_id"] += [doc_id] * first.size
+                out["n"] += [n] * first.size
+                out["shingle"] += first.view(np.int64).tolist()
+                out["at"] += range(first.size)
+            return out
+
+        return apply
+
+    return map_columns(texts.select("doc_id", "text"), make, "doc_id long, n long, shingle long, at long", text="text")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -251,22 +311,30 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: Fraction =
     links = settle(star)
     roots = cut(components(links))
 
-    # what is left: members of one bucket in different components
-    crowded = buckets.join(shared.select("bucket"), "bucket", "left_semi")
+    # what is left: buckets with members of different components
     rooted = cut(
-        crowded.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("bucket", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
+        buckets.join(shared.select("bucket"), "bucket", "left_semi")
+        .join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        .select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     )
     mixed = cut(
         rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
         .where("low < high").select("bucket")
     )
-    open_rows = cut(rooted.join(mixed, "bucket", "left_semi"))
-    one = open_rows.select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("root").alias("root_a"))
-    other = open_rows.select("bucket", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("root").alias("root_b"))
+    unsettled = cut(rooted.join(mixed, "bucket", "left_semi").select("doc_id", "root").distinct())
+    left = stored(
+        texts.join(unsettled.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-unsettled"
+    )
+    prefixes = stored(_prefixes(left, words, similarity).join(unsettled, "doc_id"), "minhash-prefixes")
+    one, other = (prefixes.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "at", "root")]) for x in "ab")
+    # what two sets share from their first common shingle on must be enough
+    possible = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (
+        similarity.numerator + similarity.denominator
+    ) >= (F.col("n_a") + F.col("n_b")) * similarity.numerator
     across = (
-        one.join(other, "bucket").where("a > b AND root_a <> root_b").where(fits("n_a", "n_b"))
-        .select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+        one.join(other, "shingle").where("doc_id_a > doc_id_b AND root_a <> root_b").where(possible)
+        .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+        .join(star, ["a", "b"], "left_anti")
     )
     more = settle(across)
     if not more.isEmpty():
