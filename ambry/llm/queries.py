@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambry.llm import decontamination, language, minhash, packing, quality, records, secrets, toxicity
+from ambry.llm import decontamination, extraction, language, minhash, packing, quality, records, secrets, toxicity
 from ambry.llm.batches import map_columns
 from ambry.llm.quality_sql import RULES
 from ambry.llm.spans import digest, joined
@@ -46,6 +46,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(load(spark, sf_dir, "pages"))
+
+
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents")).select(
