@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambry.llm import decontamination, extraction, language, minhash, packing, quality, records, secrets, toxicity
+from ambry.llm import decontamination, extraction, language, minhash, packing, pii, quality, records, secrets, toxicity
 from ambry.llm.batches import map_columns
 from ambry.llm.quality_sql import RULES
 from ambry.llm.spans import digest, joined
@@ -34,6 +34,31 @@ def fold(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+def span_digests(found: DataFrame, base_kinds: list[str], kinds: list[str]) -> DataFrame:
+    """Counts, digest and list of the spans in ``base`` and ``added``."""
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in base_kinds) + ", base_sha256 string, spans string"
+
+    def make():
+        def apply(ids, base, added):
+            fixed = [[(s["start"], s["end"], s["kind"]) for s in row] for row in base]
+            more = [[(s["start"], s["end"], s["kind"]) for s in row] for row in added]
+            out = {"doc_id": ids, "base_sha256": [digest(joined(row, base_kinds)) for row in fixed]}
+            for kind in base_kinds:
+                out[f"n_{kind}"] = [sum(s[2] == kind for s in row) for row in fixed]
+            out["spans"] = [joined(row + extra, kinds) for row, extra in zip(fixed, more, strict=True)]
+            return out
+
+        return apply
+
+    return map_columns(found, make, schema)
+
+
+@query("op1_pii_spans")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return span_digests(pii.find(docs, pii.learn(docs)), pii.KINDS, pii.KINDS)
+
+
 @query("op2_benchmark_decontamination")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
@@ -88,25 +113,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def span_digests(found: DataFrame, base_kinds: list[str], kinds: list[str]) -> DataFrame:
-    """Counts, digest and list of the spans in ``base`` and ``added``."""
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in base_kinds) + ", base_sha256 string, spans string"
-
-    def make():
-        def apply(ids, base, added):
-            fixed = [[(s["start"], s["end"], s["kind"]) for s in row] for row in base]
-            more = [[(s["start"], s["end"], s["kind"]) for s in row] for row in added]
-            out = {"doc_id": ids, "base_sha256": [digest(joined(row, base_kinds)) for row in fixed]}
-            for kind in base_kinds:
-                out[f"n_{kind}"] = [sum(s[2] == kind for s in row) for row in fixed]
-            out["spans"] = [joined(row + extra, kinds) for row, extra in zip(fixed, more, strict=True)]
-            return out
-
-        return apply
-
-    return map_columns(found, make, schema)
-
-
 @query("op6_secret_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
