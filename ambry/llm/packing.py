@@ -27,7 +27,7 @@ from ambry.operators.ordering import with_position
 from ambry.session import cut
 
 CAPACITY = 2048
-GROUPS = 64
+GROUPS = 128
 SMALL = 1 / 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
