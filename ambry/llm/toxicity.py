@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ambry.llm.batches import map_columns
 
 #: labelled texts of each label that are learned from, about
-SAMPLE = 8_000
+SAMPLE = 4_000
 #: ordinary words that may be taken for lexicon words, over all words of the sample
 MISTAKE = 1.0
 WINDOW = 160
@@ -52,95 +52,105 @@ class Automaton:
     def __init__(self, most: int):
         self.most = most
         self.dead = most + 1
-        self.start = tuple(d if d >= 0 else self.dead for d in range(-most, most + 1))
-        self.moves: dict[tuple[tuple[int, ...], int], tuple[int, ...] | None] = {}
-
-    def move(self, state: tuple[int, ...], equal: int) -> tuple[int, ...] | None:
-        key = (state, equal)
+        self.width = (1 << 2 * most + 1) - 1
+        self.states = [tuple(d if d >= 0 else self.dead for d in range(-most, most + 1))]
+        self.numbers = {self.states[0]: 0}
+        self.moves: dict[int, int] = {}
+
+    def move(self, state: int, equal: int) -> int:
+        """The next state, or -1; ``equal`` has a bit for each place of the band where the letters agree."""
+        key = state << 8 | equal
         if key not in self.moves:
+            costs = self.states[state]
             out: list[int] = []
-            for k, cost in enumerate(state):
+            for k, cost in enumerate(costs):
                 best = cost + (not equal >> k & 1)
-                if k + 1 < len(state):
-                    best = min(best, state[k + 1] + 1)
+                if k + 1 < len(costs):
+                    best = min(best, costs[k + 1] + 1)
                 if out:
                     best = min(best, out[-1] + 1)
                 out.append(min(best, self.dead))
-            self.moves[key] = tuple(out) if min(out) <= self.most else None
+            after = tuple(out)
+            if min(after) > self.most:
+                self.moves[key] = -1
+            else:
+                if after not in self.numbers:
+                    self.numbers[after] = len(self.states)
+                    self.states.append(after)
+                self.moves[key] = self.numbers[after]
         return self.moves[key]
 
 
 class Trie:
-    """Lexicon words as nested letters, with the pieces one of which every near word must keep."""
+    """Lexicon words as nested letters, one tree for each number of edits that they allow."""
 
     def __init__(self, terms: list[str]):
         self.terms = terms
-        self.root: dict = {}
         self.exact = {t: i for i, t in enumerate(terms)}
-        self.automata = {k: Automaton(k) for k in (1, 2)}
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
-        self.middles: dict[int, dict[str, set[int]]] = {}
+        self.bits: dict[str, int] = {}
+        #: automaton, root, and by a word's length the letter sets of the terms it may be near
+        self.trees: dict[int, tuple[Automaton, dict, dict[int, set[int]]]] = {}
         for number, term in enumerate(terms):
-            node = self.root
+            most = allowed(len(term))
+            if not most:
+                continue
+            _, node, letters = self.trees.setdefault(most, (Automaton(most), {}, {}))
+            for length in range(len(term) - most, len(term) + most + 1):
+                letters.setdefault(length, set()).add(self._letters(term))
             for letter in term:
                 node = node.setdefault(letter, {})
             node[""] = number
-            k, n = allowed(len(term)), len(term)
-            if not k:
-                continue
-            head, tail = n // (k + 1), n - n // (k + 1)
-            self.heads.setdefault(head, set()).add(term[:head])
-            self.tails.setdefault(n - tail, set()).add(term[tail:])
-            if k == 2:
-                self.middles.setdefault(tail - head, {}).setdefault(term[head:tail], set()).add(head)
-        self.lengths = {len(t) + d for t in terms for d in range(-allowed(len(t)), allowed(len(t)) + 1)}
-
-    def _possible(self, word: str) -> bool:
-        if any(word[:n] in found for n, found in self.heads.items()):
-            return True
-        if any(word[-n:] in found for n, found in self.tails.items()):
-            return True
-        for n, found in self.middles.items():
-            for at in range(len(word) - n + 1):
-                places = found.get(word[at:at + n])
-                if places and any(abs(at - p) <= 1 for p in places):
-                    return True
-        return False
 
     def near(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the nearest lexicon word within what its length allows; the first of equals."""
         if word in self.exact:
             return self.exact[word], 0
-        if len(word) not in self.lengths or not self._possible(word):
-            return None
-        best = None
-        for most, automaton in self.automata.items():
-            for term, cost in self._walk(word, automaton):
-                if cost <= allowed(len(self.terms[term])) and (best is None or (cost, term) < (best[1], best[0])):
-                    best = (term, cost)
-            if best is not None and best[1] <= most:
-                break
-        return best
-
-    def _walk(self, word: str, automaton: Automaton):
-        most, n = automaton.most, len(word)
-        stack = [(self.root, automaton.start, 0)]
+        best = used = None
+        for automaton, root, letters in self.trees.values():
+            terms = letters.get(len(word))
+            if not terms:
+                continue
+            if used is None:
+                used = self._letters(word)
+            # an edit takes away and brings in one letter at most
+            most = 2 * automaton.most
+            if any([(used ^ term).bit_count() <= most for term in terms]):
+                for found in self._walk(word, automaton, root):
+                    best = found if best is None else min(best, found)
+        return None if best is None else (best[1], best[0])
+
+    def _letters(self, word: str) -> int:
+        """The set of a word's letters, as bits."""
+        out = 0
+        for letter in word:
+            bit = self.bits.get(letter)
+            if bit is None:
+                bit = self.bits[letter] = 1 << min(len(self.bits), 63)
+            out |= bit
+        return out
+
+    def _walk(self, word: str, automaton: Automaton, root: dict):
+        """(edits, term) of all words of a tree within reach."""
+        most, width, moves, n = automaton.most, automaton.width, automaton.moves, len(word)
+        # where each letter stands, moved up by ``most`` so that a band never begins below bit 0
+        places: dict[str, int] = {}
+        for i, letter in enumerate(word, most):
+            places[letter] = places.get(letter, 0) | 1 << i
+        stack = [(root, 0, 0)]
         while stack:
             node, state, depth = stack.pop()
             for letter, below in node.items():
-                if letter == "":
+                if not letter:
                     reach = n - depth + most
-                    if 0 <= reach < len(state) and state[reach] <= most:
-                        yield below, state[reach]
+                    costs = automaton.states[state]
+                    if 0 <= reach < len(costs) and costs[reach] <= most:
+                        yield costs[reach], below
                     continue
-                equal = 0
-                for k in range(2 * most + 1):
-                    at = depth + k - most
-                    if 0 <= at < n and word[at] == letter:
-                        equal |= 1 << k
-                after = automaton.move(state, equal)
-                if after is not None:
+                equal = places.get(letter, 0) >> depth & width
+                after = moves.get(state << 8 | equal)
+                if after is None:
+                    after = automaton.move(state, equal)
+                if after >= 0:
                     stack.append((below, after, depth + 1))
 
 
@@ -280,7 +290,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mistake: flo
     sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, sample / sizes.get(1, 1)).otherwise(sample / sizes.get(0, 1))
     drawn = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    taught = docs.select("doc_id", "text").where("text IS NOT NULL").join(drawn, "doc_id").select("text", "toxic")
+    # about twice ``sample`` ids at most, so they go to the texts and not the texts to them
+    taught = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
     terms = _lexicon(_distinct_uses(taught), mistake)
     model = Model(terms, np.ones((max(1, len(terms)), 3)), np.zeros(4))
     shared = docs.sparkSession.sparkContext.broadcast(model)
