@@ -1,52 +1,64 @@
 """Finding and reading references to catalogued works: 'Third Book 3.5-7'.
 
-The catalogue is a closed list of works kept by hand, so its spellings go into
-the plan as alternations; titles are then read where they lie, with regular
-expressions only. Spellings are split over several alternations when a list is
-long, and the best hit over all of them is taken.
+The catalogue is a table of spellings. A title offers every stretch of it that
+begins and ends with a word, and the two meet in an equality join, so neither
+the plan nor the driver grows with the catalogue. What follows a mention is
+read token by token by a small state machine.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import astuple, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambry.functions.snippets import plain
 from ambry.functions.text import fold_squeeze
 
-BLOCK = 300
-# Ways of writing 1, 2 and 3 in front of a work's name.
-NUMERALS = [
-    (r"(\d)\s*[ºª°]", r"$1"),
-    (r"\bprimeir[ao]\s+(?:carta|epistola|livro)\s+(?:de\s+|dos\s+|d[oa]\s+)?", "1 "),
-    (r"\bsegund[ao]\s+(?:carta|epistola|livro)\s+(?:de\s+|dos\s+|d[oa]\s+)?", "2 "),
-    (r"\bterceir[ao]\s+(?:carta|epistola|livro)\s+(?:de\s+|dos\s+|d[oa]\s+)?", "3 "),
-    (r"\biii\s+", "3 "),
-    (r"\bii\s+", "2 "),
-    (r"\bi\s+", "1 "),
-]
-_NUM = r"(\d{1,3})(?!\d)"
-_CHAPTER = rf"^\s*{_NUM}(?:\s*[.:]\s*{_NUM})?"
-_RANGE = rf"^[a-z]?\s*[-–—]\s*{_NUM}(?:\s*[.:]\s*{_NUM})?"
-_MORE = rf"^(?:[a-z]?\s*(?:,|\se\s?)\s*{_NUM})*"
+# Words that number a work, the nouns they go with, and what may follow the noun.
+ORDINALS = {"primeira": "1", "primeiro": "1", "segunda": "2", "segundo": "2", "terceira": "3", "terceiro": "3"}
+NOUNS = ["carta", "epistola", "livro"]
+JOINERS = ["de", "dos", "do", "da"]
+ROMANS = {"i": "1", "ii": "2", "iii": "3"}
+DASHES = ["-", "\u2013", "\u2014"]
+LIST_SEPARATOR = "|"
+_SCHEMA = "position int, slug string, name string, chapters int, abbrevs array<string>, aliases array<string>"
 
 
-def with_numerals(col: Column) -> Column:
-    for pattern, digit in NUMERALS:
-        col = F.regexp_replace(col, pattern, digit)
-    return col
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
-def _needle(raw: str) -> str:
-    text = " ".join(plain(raw).split())
-    for pattern, digit in NUMERALS:
-        text = re.sub(pattern, digit.replace("$", "\\"), text)
-    return text
+def with_numerals(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds ``out``: the folded text, with numbers for what counts a work in words.
+
+    'Primeira carta de' and 'I' both become '1'. Works on words, each of which
+    looks at its neighbours.
+    """
+    plain = fold_squeeze(F.translate(F.coalesce(F.col(text), F.lit("")), "\u00ba\u00aa\u00b0", "   "))
+    df = df.withColumn("_w", F.split(plain, " "))
+
+    def told(at: Column) -> Column:
+        return _lookup(ORDINALS, F.get("_w", at)).isNotNull() & F.get("_w", at + 1).isin(NOUNS)
+
+    def read(word: Column, i: Column) -> Column:
+        counted = F.coalesce(told(i), F.lit(False))
+        noun = F.coalesce(told(i - 1), F.lit(False))
+        joiner = F.coalesce(told(i - 2) & word.isin(JOINERS), F.lit(False))
+        roman = F.when(i < F.size("_w") - 1, _lookup(ROMANS, word))
+        return F.when(counted, _lookup(ORDINALS, word)).when(~noun & ~joiner, F.coalesce(roman, word))
+
+    return df.withColumn(out, F.array_join(F.transform("_w", read), " ")).drop("_w")
+
+
+def _pieces(col: Column) -> Column:
+    """Runs of letters, runs of digits, and every other character by itself."""
+    return F.regexp_extract_all(col, F.lit("[a-z]+|[0-9]+|[^a-z0-9]"), F.lit(0))
+
+
+def _is_word(piece: Column) -> Column:
+    return piece.rlike("^[a-z0-9]")
 
 
 @dataclass(frozen=True)
@@ -58,91 +70,129 @@ class Work:
     abbreviations: tuple[str, ...] = ()
     aliases: tuple[str, ...] = ()
 
-    def spellings(self) -> Iterable[tuple[int, str]]:
-        """(tier, folded spelling): names first, abbreviations need a number after them."""
-        for raw in (self.name, *self.aliases):
-            yield 0, _needle(raw)
-        for raw in self.abbreviations:
-            yield 1, _needle(raw)
-            numbered = re.fullmatch(r"([123])\s*([A-Za-zÀ-ÿ]+)", raw)
-            if numbered:
-                yield 1, _needle(f"{numbered[1]} {numbered[2]}")
-
 
 class Catalogue:
-    """A list of works, ready to be looked for."""
+    """Works as a table; ``spellings`` is what titles are joined with."""
 
-    def __init__(self, works: Iterable[Work]):
-        self.works = sorted(works, key=lambda w: w.position)
-        self.slugs: tuple[dict[str, str], dict[str, str]] = ({}, {})
-        for work in self.works:
-            for tier, text in work.spellings():
-                if re.search("[a-z0-9]", text):
-                    self.slugs[tier].setdefault(text, work.slug)
+    def __init__(self, works: Iterable[Work] | DataFrame):
+        self._works = works if isinstance(works, DataFrame) else list(works)
 
     @classmethod
     def read(cls, table: DataFrame) -> Catalogue:
         """From (position, slug, name, chapters, abbrevs, aliases), lists separated by bars."""
-        split = lambda v: tuple(p.strip() for p in (v or "").split("|") if p.strip())
-        rows = table.select("position", "slug", "name", "chapters", "abbrevs", "aliases").collect()
-        return cls(Work(r[0], r[1].strip(), r[2].strip(), r[3], split(r[4]), split(r[5])) for r in rows)
-
-    def patterns(self, tier: int) -> list[str]:
-        tail = r"(?![a-z0-9])" if tier == 0 else r"(?=\s*\d)"
-        texts = sorted(self.slugs[tier], key=len, reverse=True)
-        out = []
-        for i in range(0, len(texts), BLOCK):
-            block = texts[i : i + BLOCK]
-            # most places are ruled out by their first character
-            first = "".join(sorted({re.escape(t[0]) for t in block}))
-            out.append(rf"(?<![a-z0-9])(?=[{first}])(?:{'|'.join(map(re.escape, block))}){tail}")
-        return out
-
-    def slug_of(self, tier: int, text: Column) -> Column:
-        pairs = [F.lit(x) for pair in self.slugs[tier].items() for x in pair]
-        return F.try_element_at(F.create_map(*pairs), text) if pairs else F.lit(None).cast("string")
-
-    def chapters_of(self, slug: Column) -> Column:
-        pairs = [x for w in self.works for x in (F.lit(w.slug), F.lit(w.chapters))]
-        return F.try_element_at(F.create_map(*pairs), slug)
+        def split(name: str) -> Column:
+            parts = F.split(F.coalesce(F.col(name), F.lit("")), f"[{LIST_SEPARATOR}]")
+            return F.filter(F.transform(parts, lambda v: F.trim(v)), lambda v: v != "").alias(name)
+
+        return cls(table.select(
+            F.col("position").cast("int"), F.trim("slug").alias("slug"), F.trim("name").alias("name"),
+            F.col("chapters").cast("int"), split("abbrevs"), split("aliases"),
+        ))
+
+    def works(self, spark: SparkSession) -> DataFrame:
+        if isinstance(self._works, DataFrame):
+            return self._works
+        return spark.createDataFrame([tuple(map(_plain, astuple(w))) for w in self._works], _SCHEMA)
+
+    def spellings(self, spark: SparkSession) -> DataFrame:
+        """(spelling, tier, slug, chapters, n_pieces): names are tier 0; abbreviations, tier 1, need a number after them.
+
+        A spelling that several works share belongs to the first of them.
+        """
+        works = self.works(spark)
+        names = F.transform(F.concat(F.array("name"), "aliases"), lambda v: F.struct(F.lit(0).alias("tier"), v.alias("raw")))
+        short = F.transform("abbrevs", lambda v: F.struct(F.lit(1).alias("tier"), v.alias("raw")))
+        # '1Co' is also written '1 Co'
+        apart = F.transform(
+            F.filter("abbrevs", lambda v: v.rlike("^[123]")),
+            lambda v: F.struct(F.lit(1).alias("tier"), F.concat_ws(" ", F.left(v, F.lit(1)), F.ltrim(F.substr(v, F.lit(2)))).alias("raw")),
+        )
+        rows = works.select("position", "slug", "chapters", F.explode(F.concat(names, short, apart)).alias("s"))
+        read = with_numerals(rows.select("position", "slug", "chapters", "s.tier", "s.raw"), "raw", "spelling")
+        least = F.min(F.struct("position", "slug", "chapters")).alias("w")
+        return read.where(F.col("spelling").rlike("[a-z0-9]")).groupBy("spelling", "tier").agg(least).select(
+            "spelling", "tier", "w.slug", "w.chapters", F.size(_pieces(F.col("spelling"))).alias("n_pieces")
+        )
+
+
+def _plain(value):
+    return list(value) if isinstance(value, tuple) else value
+
+
+def mentions(texts: DataFrame, catalogue: Catalogue) -> DataFrame:
+    """(text, work, limit, rest) of the distinct ``texts`` (text) that mention a work.
+
+    The earliest mention counts; at one place a name beats an abbreviation and
+    a longer spelling a shorter one. ``rest`` is the folded text after it and
+    ``limit`` the work's number of chapters.
+    """
+    spark = texts.sparkSession
+    spellings = catalogue.spellings(spark)
+    longest = spellings.agg(F.coalesce(F.max("n_pieces"), F.lit(0))).scalar()
+    read = with_numerals(texts.where("text IS NOT NULL").distinct(), "text", "hay").withColumn("p", _pieces(F.col("hay")))
+    begins = F.filter(
+        F.sequence(F.lit(0), F.size("p") - 1),
+        lambda i: _is_word(F.get("p", i)) & ~F.coalesce(_is_word(F.get("p", i - 1)), F.lit(False)),
+    )
+    starts = read.where("size(p) > 0").withColumn("longest", longest).select("text", "p", "longest", F.explode(begins).alias("at"))
+    widths = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least("longest", F.size("p") - F.col("at"))))
+    stretches = starts.select("text", "p", "at", F.explode(widths).alias("n")).select(
+        "text", "at", F.array_join(F.slice("p", F.col("at") + 1, F.col("n")), "").alias("spelling"),
+        F.coalesce(_is_word(F.get("p", F.col("at") + F.col("n"))), F.lit(False)).alias("goes_on"),
+        F.array_join(F.slice("p", F.col("at") + F.col("n") + 1, F.size("p")), "").alias("rest"),
+    )
+    hits = stretches.join(spellings, "spelling").where(
+        F.when(F.col("tier") == 0, ~F.col("goes_on")).otherwise(F.ltrim("rest").rlike("^[0-9]"))
+    )
+    first = F.min_by(F.struct("slug", "chapters", "rest"), F.struct("at", "tier", -F.length("spelling"))).alias("m")
+    return hits.groupBy("text").agg(first).select(
+        "text", F.col("m.slug").alias("work"), F.col("m.chapters").alias("limit"), F.col("m.rest").alias("rest")
+    )
 
 
 def find_work(df: DataFrame, text: str, catalogue: Catalogue, prefix: str = "ref_") -> DataFrame:
-    """Adds the earliest mention of a work: ``{prefix}work`` and ``{prefix}rest``.
+    """Adds the earliest mention of a work: ``{prefix}work``, ``{prefix}limit`` and ``{prefix}rest``."""
+    found = mentions(df.select(F.col(text).alias("text")), catalogue)
+    renamed = found.select(
+        F.col("text").alias("_text"), *[F.col(c).alias(f"{prefix}{c}") for c in ("work", "limit", "rest")]
+    )
+    return df.join(renamed, F.col(text) == F.col("_text"), "left").drop("_text")
+
+
+# What a token does in each state; a token without an entry ends the reading. Tokens are
+# n(umber of up to three digits), p(oint or colon), d(ash), c(omma or 'e') and l(etter).
+# A state is named after the number that was read last, or with > after what is awaited.
+_MOVES = {
+    "start n": "chapter", "chapter p": ">verse", "chapter l": "chapter-", "chapter d": ">to", "chapter c": ">more",
+    "chapter- d": ">to", "chapter- c": ">more", ">verse n": "verse", "verse l": "verse-", "verse d": ">to",
+    "verse c": ">more", "verse- d": ">to", "verse- c": ">more", ">to n": "to", "to p": ">to_verse", "to l": "to-",
+    "to c": ">more", "to- c": ">more", ">to_verse n": "to_verse", "to_verse l": "to_verse-", "to_verse c": ">more",
+    "to_verse- c": ">more", ">more n": "more", "more l": "more-", "more c": ">more", "more- c": ">more",
+}
+
+
+def _token_kind(t: Column) -> Column:
+    return (
+        F.when(t.rlike("^[0-9]"), F.when(F.length(t) <= 3, "n"))
+        .when(t.isin(".", ":"), "p").when(t.isin(DASHES), "d").when(t.isin(",", "e"), "c")
+        .when(t.rlike("^[a-z]$"), "l")
+    )
 
-    At one place a name beats an abbreviation and a longer spelling a shorter
-    one. ``rest`` is the folded text after the mention.
-    """
-    hay = df.withColumn(f"{prefix}hay", with_numerals(fold_squeeze(F.col(text))))
-    col = F.col(f"{prefix}hay")
-    hits = []
-    for tier in (0, 1):
-        for pattern in catalogue.patterns(tier):
-            # a column of its own, so that the alternation runs once for text and once for place
-            name = f"{prefix}found{len(hits)}"
-            hay = hay.withColumn(name, F.regexp_extract(col, pattern, 0))
-            found = F.col(name)
-            hits.append(F.when(
-                found != "",
-                F.struct(
-                    F.regexp_instr(col, F.lit(pattern)).alias("at"), F.lit(tier).alias("tier"),
-                    (-F.length(found)).alias("len"), catalogue.slug_of(tier, found).alias("slug"),
-                ),
-            ))
-    best = hits[0] if len(hits) == 1 else F.least(*hits)
-    chosen = hay.withColumn(f"{prefix}m", best)
-    at, length = F.col(f"{prefix}m.at"), -F.col(f"{prefix}m.len")
-    return chosen.withColumn(f"{prefix}work", F.col(f"{prefix}m.slug")).withColumn(
-        f"{prefix}rest", F.substring(col, at + length, F.length(col))
-    ).drop(f"{prefix}m", f"{prefix}hay", *[f"{prefix}found{i}" for i in range(len(hits))])
-
-
-def _int(col: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(col, pattern, group).try_cast("int")
-
-
-def _after(col: Column, matched: Column) -> Column:
-    return F.substring(col, F.length(matched) + 1, F.length(col))
+
+def _numbers(rest: Column) -> Column:
+    """[(state, number), ...] read from the start of ``rest``, in order."""
+    tokens = F.filter(_pieces(rest), lambda t: F.trim(t) != "")
+    none = F.array().cast("array<struct<state:string,number:int>>")
+
+    def step(s: Column, t: Column) -> Column:
+        after = F.coalesce(_lookup(_MOVES, F.concat_ws(" ", s["state"], _token_kind(t))), F.lit("end"))
+        read = F.when(
+            t.rlike("^[0-9]") & (after != "end"),
+            F.concat(s["found"], F.array(F.struct(after.alias("state"), t.try_cast("int").alias("number")))),
+        ).otherwise(s["found"])
+        return F.struct(after.alias("state"), read.alias("found"))
+
+    return F.aggregate(tokens, F.struct(F.lit("start").alias("state"), none.alias("found")), step, lambda s: s["found"])
 
 
 def parse_reference(df: DataFrame, text: str, catalogue: Catalogue, prefix: str = "ref_") -> DataFrame:
@@ -153,33 +203,28 @@ def parse_reference(df: DataFrame, text: str, catalogue: Catalogue, prefix: str
     after a comma or 'e' extend the verses.
     """
     p = prefix
-    df = find_work(df, text, catalogue, p)
-    rest = F.col(f"{p}rest")
-    chapter = _int(rest, _CHAPTER, 1)
-    limit = catalogue.chapters_of(F.col(f"{p}work"))
-    df = df.withColumn(f"{p}limit", limit).withColumn(
-        f"{p}start", F.when((chapter >= 1) & (chapter <= F.col(f"{p}limit")), chapter)
-    ).withColumn(f"{p}v1", _int(rest, _CHAPTER, 2)).withColumn(
-        f"{p}r2", _after(rest, F.regexp_extract(rest, _CHAPTER, 0))
-    )
-    tail = F.col(f"{p}r2")
-    df = df.withColumn(f"{p}a", _int(tail, _RANGE, 1)).withColumn(f"{p}b", _int(tail, _RANGE, 2)).withColumn(
-        f"{p}r3", _after(tail, F.regexp_extract(tail, _RANGE, 0))
+    df = find_work(df, text, catalogue, p).withColumn(f"{p}read", _numbers(F.coalesce(f"{p}rest", F.lit(""))))
+
+    def said(state: str, place: int = 0) -> Column:
+        mine = F.transform(F.filter(f"{p}read", lambda r: r["state"] == state), lambda r: r["number"])
+        return F.try_element_at(mine, F.lit(-1)) if place < 0 else F.get(mine, F.lit(place))
+
+    df = df.withColumns({f"{p}{s}": said(s) for s in ("chapter", "verse", "to", "to_verse")}).withColumns(
+        {f"{p}first_more": said("more"), f"{p}last_more": said("more", -1)}
     )
-    listed = F.regexp_extract(F.col(f"{p}r3"), _MORE, 0)
-    df = df.withColumn(f"{p}more", F.regexp_extract_all(listed, F.lit(r"(\d+)"), F.lit(1)))
-    start, v1, a, b = (F.col(f"{p}{n}") for n in ("start", "v1", "a", "b"))
-    more = F.col(f"{p}more")
-    end = F.when(b.isNotNull(), a).when(v1.isNull() & a.isNotNull(), a).otherwise(start)
-    verse_end = F.when(b.isNotNull(), b).when(v1.isNotNull() & a.isNotNull(), a).otherwise(v1)
-    ok = start.isNotNull()
-    return df.withColumn(f"{p}chapter_start", start).withColumn(
-        f"{p}chapter_end", F.when(ok, F.when((end < start) | (end > F.col(f"{p}limit")), start).otherwise(end))
-    ).withColumn(
-        f"{p}verse_start", F.when(ok, F.coalesce(v1, F.get(more, F.lit(0)).try_cast("int")))
-    ).withColumn(
-        f"{p}verse_end", F.when(ok, F.coalesce(F.try_element_at(more, F.lit(-1)).try_cast("int"), verse_end))
-    ).drop(*[f"{p}{n}" for n in ("rest", "limit", "start", "v1", "r2", "a", "b", "r3", "more")])
+    chapter, verse, to, to_verse = (F.col(f"{p}{n}") for n in ("chapter", "verse", "to", "to_verse"))
+    limit = F.col(f"{p}limit")
+    inside = chapter.between(1, limit)
+    # the number after a dash is a chapter if it has a verse of its own, or if nothing before it has
+    end = F.when(to.isNotNull() & (to_verse.isNotNull() | verse.isNull()), to).otherwise(chapter)
+    last = F.coalesce(to_verse, F.when(verse.isNotNull(), F.coalesce(to, verse)))
+    spare = ("rest", "limit", "read", "chapter", "verse", "to", "to_verse", "first_more", "last_more")
+    return df.withColumns({
+        f"{p}chapter_start": F.when(inside, chapter),
+        f"{p}chapter_end": F.when(inside, F.when((end < chapter) | (end > limit), chapter).otherwise(end)),
+        f"{p}verse_start": F.when(inside, F.coalesce(verse, f"{p}first_more")),
+        f"{p}verse_end": F.when(inside, F.coalesce(f"{p}last_more", last)),
+    }).drop(*[f"{p}{n}" for n in spare])
 
 
 def expand_chapters(refs: DataFrame) -> DataFrame:

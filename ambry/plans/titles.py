@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ambry import tables
-from ambry.functions.references import Catalogue, Work, decision_rows, expand_chapters, find_work, parse_reference
+from ambry.functions.references import Catalogue, decision_rows, expand_chapters, find_work, parse_reference
 from ambry.functions import stem as S
 from ambry.functions.titles import parse_title
 from ambry.operators import index, postings
@@ -42,9 +42,13 @@ def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
-    """The part names as works: a closed list of spellings, read once."""
-    names = tables.load(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("position")).collect()
-    return Catalogue(Work(r.position, r.p_name.replace(" ", "-"), r.p_name, CHAPTERS) for r in names)
+    """The part names as works, one per name."""
+    names = tables.load(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").cast("int").alias("position"))
+    none = F.array().cast("array<string>")
+    return Catalogue(names.select(
+        "position", F.replace("p_name", F.lit(" "), F.lit("-")).alias("slug"), F.col("p_name").alias("name"),
+        F.lit(CHAPTERS).alias("chapters"), none.alias("abbrevs"), none.alias("aliases"),
+    ))
 
 
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"

@@ -7,7 +7,7 @@ from ambry.functions import snippets as S
 from ambry.functions import text as T
 from ambry.functions import values as V
 from ambry.functions.references import Catalogue, Work, parse_reference
-from ambry.functions.titles import parse_title, part_number
+from ambry.functions.titles import parse_title, with_part
 from ambry.operators import loader
 
 BOOKS = Catalogue([
@@ -63,7 +63,7 @@ def test_title_grammar(frame):
 def test_part_notations(frame):
     titles = ["x Parte 12", "Aula 4 - x", "x (pt. 3)", "x (7)", "Da Vida III", "Capítulo", "A V", "Da Vida V"]
     rows = frame([(i, t) for i, t in enumerate(titles)], "i int, t string").orderBy("i")
-    assert [r[0] for r in rows.select(part_number(F.col("t"))).collect()] == [12, 4, 3, 7, 3, None, None, 5]
+    assert [r.part for r in with_part(rows, "t").collect()] == [12, 4, 3, 7, 3, None, None, 5]
 
 
 def one(frame, value, fn, schema="t string"):
