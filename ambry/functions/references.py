@@ -37,7 +37,7 @@ def with_numerals(df: DataFrame, text: str, out: str) -> DataFrame:
     looks at its neighbours.
     """
     plain = fold_squeeze(F.translate(F.coalesce(F.col(text), F.lit("")), "\u00ba\u00aa\u00b0", "   "))
-    df = df.withColumn("_w", F.split(plain, " "))
+    df = df.withColumn("_plain", plain).withColumn("_w", F.split("_plain", " "))
 
     def told(at: Column) -> Column:
         return _lookup(ORDINALS, F.get("_w", at)).isNotNull() & F.get("_w", at + 1).isin(NOUNS)
@@ -49,7 +49,10 @@ def with_numerals(df: DataFrame, text: str, out: str) -> DataFrame:
         roman = F.when(i < F.size("_w") - 1, _lookup(ROMANS, word))
         return F.when(counted, _lookup(ORDINALS, word)).when(~noun & ~joiner, F.coalesce(roman, word))
 
-    return df.withColumn(out, F.array_join(F.transform("_w", read), " ")).drop("_w")
+    # most texts count nothing in words and need no second look
+    counts = rf"\b(?:{'|'.join([*ORDINALS, *ROMANS])})\b"
+    return df.withColumn(out, F.when(F.col("_plain").rlike(counts), F.array_join(F.transform("_w", read), " ")).otherwise(
+        F.col("_plain"))).drop("_w", "_plain")
 
 
 def _pieces(col: Column) -> Column:
@@ -128,14 +131,15 @@ def mentions(texts: DataFrame, catalogue: Catalogue) -> DataFrame:
     """
     spark = texts.sparkSession
     spellings = catalogue.spellings(spark)
-    longest = spellings.agg(F.coalesce(F.max("n_pieces"), F.lit(0))).scalar()
+    sizes = spellings.agg(F.collect_set("n_pieces")).scalar()
     read = with_numerals(texts.where("text IS NOT NULL").distinct(), "text", "hay").withColumn("p", _pieces(F.col("hay")))
     begins = F.filter(
         F.sequence(F.lit(0), F.size("p") - 1),
         lambda i: _is_word(F.get("p", i)) & ~F.coalesce(_is_word(F.get("p", i - 1)), F.lit(False)),
     )
-    starts = read.where("size(p) > 0").withColumn("longest", longest).select("text", "p", "longest", F.explode(begins).alias("at"))
-    widths = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least("longest", F.size("p") - F.col("at"))))
+    starts = read.where("size(p) > 0").withColumn("sizes", sizes).select("text", "p", "sizes", F.explode(begins).alias("at"))
+    # only stretches of as many pieces as some spelling has
+    widths = F.filter("sizes", lambda n: F.col("at") + n <= F.size("p"))
     stretches = starts.select("text", "p", "at", F.explode(widths).alias("n")).select(
         "text", "at", F.array_join(F.slice("p", F.col("at") + 1, F.col("n")), "").alias("spelling"),
         F.coalesce(_is_word(F.get("p", F.col("at") + F.col("n"))), F.lit(False)).alias("goes_on"),

@@ -140,13 +140,18 @@ def drill_sideways(items: DataFrame, refs: DataFrame, f: Filters) -> DataFrame:
         entries("years", F.array("year"), "dates"),
         entries("total", F.array(F.lit("")), None),
     )
-    return (
+    counted = (
         flagged.select(F.explode(emitted).alias("e"))
         .select("e.dimension", "e.value")
         .where(F.col("value").isNotNull())
         .groupBy("dimension", "value")
         .agg(F.count(F.lit(1)).alias("total"))
     )
+    # the total is there also when nothing passes
+    none = items.sparkSession.range(1).select(
+        F.lit("total").alias("dimension"), F.lit("").alias("value"), F.lit(0).cast("long").alias("total")
+    )
+    return counted.unionByName(none).groupBy("dimension", "value").agg(F.sum("total").alias("total"))
 
 
 def options(members: DataFrame, counts: DataFrame) -> DataFrame:

@@ -50,20 +50,25 @@ def with_references(rows: DataFrame, refs: DataFrame, works: DataFrame) -> DataF
     return rows.join(child, "item_id", "left")
 
 
-def number_aware(col: Column, width: int = 12) -> Column:
-    """Sort key in which digits compare by value: 'Part 9' before 'Part 10'."""
-    folded = F.lower(strip_accents(col))
-    padded = F.regexp_replace(folded, r"(\d+)", "0" * width + "$1")
-    return F.regexp_replace(padded, rf"0*(\d{{{width}}})(?!\d)", "$1")
+def number_aware(col: Column) -> Column:
+    """Sort key in which digits compare by value: 'Part 9' before 'Part 10'.
+
+    Each run of digits is led by its length without leading zeros, so numbers of any size sort right.
+    """
+    runs = F.regexp_extract_all(F.lower(strip_accents(col)), F.lit(r"\d+|\D+"), F.lit(0))
+
+    def keyed(run: Column) -> Column:
+        digits = F.ltrim(run, F.lit("0"))
+        return F.when(run.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(run)
+
+    return F.array_join(F.transform(runs, keyed), "")
 
 
-def initial_groups(names: DataFrame, name: str = "name") -> DataFrame:
-    """Index letter of each name; letters with one name share the last group."""
+def initial_groups(names: DataFrame, name: str = "name", total: str = "total") -> DataFrame:
+    """Index letter of each name; names with exactly one item share the last group, those with none are left out."""
     letter = F.upper(F.left(strip_accents(F.col(name)), F.lit(1)))
-    lettered = names.withColumn("letter", letter)
-    sizes = lettered.groupBy("letter").agg(F.count(F.lit(1)).alias("_n"))
-    return lettered.join(sizes, "letter").select(
-        *names.columns,
-        F.when(F.col("_n") > 1, F.col("letter")).otherwise("Avulsos").alias("initial"),
-        (F.col("_n") == 1).alias("is_last"),
+    single = F.col(total) == 1
+    return names.where(F.col(total) > 0).select(
+        *[c for c in names.columns if c != total],
+        F.when(single, "Avulsos").otherwise(letter).alias("initial"), single.alias("is_last"),
     )

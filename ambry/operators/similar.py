@@ -100,7 +100,7 @@ def similar_pairs(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components of (a, b) edges, root = least node.
 
     Alternates two local rewirings until nothing changes: every node links its
@@ -113,7 +113,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("u <> v").distinct()
     )
-    for _ in range(max_rounds):
+    while True:
         # large star: over all neighbours, link the larger ones to the least
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -134,8 +134,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         links = fresh
         if settled:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = links.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 

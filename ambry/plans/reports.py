@@ -142,9 +142,9 @@ def o9_people_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("o10_section_list", W + """
-SELECT w.section, w.position, w.work, count(DISTINCT r.item_id) AS total FROM works w JOIN refs r USING (work) WHERE r.chapter = 0 GROUP BY ALL""")
+SELECT w.section, w.position, w.work, count(DISTINCT r.item_id) AS total FROM works w JOIN refs r USING (work) GROUP BY ALL""")
 def o10_section_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = tables.item_refs(spark, sf_dir).where("chapter = 0")
+    refs = tables.item_refs(spark, sf_dir)
     return catalogue.section_list(facets.work_totals(tables.works(spark, sf_dir), refs))
 
 

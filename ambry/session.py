@@ -36,14 +36,16 @@ def local_session(app: str = "ambry", cpus: int | str = "*", **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, a laptop) do we make one of our own.
+    A cluster names it in ``spark.checkpoint.dir``; one that does not is an
+    error. Where all runs in one process (tests, a laptop) we make one of our own.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = _FALLBACK_DIRS.get(sc.applicationId)
         if base is None:
+            if not (sc.getCheckpointDir() or sc.master.startswith("local") and "cluster" not in sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
             base = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="ambry-")
             _FALLBACK_DIRS[sc.applicationId] = base
     if sc.getCheckpointDir() is None:

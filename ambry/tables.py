@@ -23,21 +23,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread_out(scan: DataFrame, key: str) -> DataFrame:
-    """Use all cores for work that is heavy per row.
-
-    A file with few row groups is read by few tasks. Such a scan is small, so
-    it is redistributed by its unique key; a scan that already has a task for
-    every core -- anything of size -- is left as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
-
-
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as (doc_id, title, text, lang, source)."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return spread_out(docs, "doc_id").select(
+    return docs.select(
         "doc_id", title_of(F.col("text")).alias("title"), "text", "lang", "source"
     )
 

@@ -176,6 +176,8 @@ def test_year_totals_and_number_order(frame):
         (3, 1, 2), (1, 1, 2), (12, 1, 1)]
     names = frame([("Parte 10",), ("parte 9",), ("Párte 2b",)], "name string")
     assert [r.name for r in names.orderBy(number_aware(F.col("name"))).collect()] == ["Párte 2b", "parte 9", "Parte 10"]
+    far = frame([("n 1000000000000",), ("n 5",), ("n 007",), ("n 999999999999",)], "name string")
+    assert [r.name for r in far.orderBy(number_aware(F.col("name"))).collect()] == ["n 5", "n 007", "n 999999999999", "n 1000000000000"]
 
 
 def test_facet_tree_keeps_empty_members_and_hides_chapter_zero(frame):
