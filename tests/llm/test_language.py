@@ -64,3 +64,38 @@ def test_odd_rows(odd, none):
     kept = language.in_known_language(odd, language.learn(odd))
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {5, 6, 7}
     assert letters("Ab-1c").tolist() == [ord(c) for c in " ab c "]
+
+
+def test_a_language_never_learned_is_rejected_and_clean_texts_stay(spark):
+    """The fifth language shares letters, endings and words with the others; some clean texts are in two languages."""
+    draw = random.Random(4)
+    marks = "abcdefghijklmnoprstuv"
+    every = ["".join(draw.choice(marks) for _ in range(draw.randrange(2, 4))) for _ in range(150)]
+    held = {f"l{k}": every[30 * k:30 * k + 30] for k in range(4)}
+    held["fifth"] = every[120:] + every[:8] + every[30:38] + every[60:64]
+
+    def text(lang, n):
+        return " ".join("".join(draw.choice(held[lang]) for _ in range(draw.randrange(1, 4))) for _ in range(n))
+
+    langs = [f"l{k}" for k in range(4)]
+    taught = [(k, text(langs[k % 4], draw.choice([5, 60, 120])), langs[k % 4]) for k in range(1200)]
+    clean = [(2000 + k, text(langs[k % 4], draw.choice([2, 30, 60, 400])), None) for k in range(200)]
+    mixed = [(3000 + k, text(langs[k % 4], 60) + " " + text(langs[(k + 1) % 4], 50), None) for k in range(40)]
+    foreign = [(4000 + k, text("fifth", draw.choice([30, 60, 400])), None) for k in range(60)]
+    docs = spark.createDataFrame(taught + clean + mixed + foreign, "doc_id long, text string, lang string")
+    filters = language.learn(docs, aside=True)
+    least = language.cutoffs(docs, filters)
+    assert set(least) == set(langs) and all(0.1 < x < 1 for cuts in least.values() for x in cuts.values())
+    before = {r.doc_id for r in language.in_known_language(docs, filters).collect()}
+    assert before >= {r[0] for r in foreign}
+    after = {r.doc_id for r in language.in_known_language(docs, filters, least=least).collect()}
+    assert after == {r[0] for r in taught + clean + mixed}
+
+
+def test_bounds_by_rank():
+    assert language.bound_rank(language.ENOUGH - 1) == 0 and language.bound_rank(language.ENOUGH) == 1
+    for n in (100, 999):
+        draw = np.random.default_rng(n)
+        r = language.bound_rank(n)
+        above = np.mean([np.partition(draw.random(n), r - 1)[r - 1] > language.TAIL for _ in range(4000)])
+        assert above <= language.RISK + 0.015
