@@ -23,9 +23,9 @@ from ambry.llm.spans import Covered, Span, matches
 
 KINDS = ["email", "ip", "card", "phone"]
 #: tokens in the longest entity
-LONGEST = 15
+LONGEST = 24
 #: characters around a trigger that a window holds
-MARGIN = 24
+MARGIN = 40
 #: characters of a piece of a window, and of what two pieces share
 PIECE = 480
 OVERLAP = 96
@@ -42,7 +42,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\W\d_]+|\s+|.", re.DOTALL)
-_TRIGGER = re.compile(r"@|[0-9](?:[\x20().-]{0,2}[0-9]){4}")
+_FOURS = re.compile(r"[0-9]{1,3}(?:\x20?[\[(]?\.[\])]?\x20?[0-9]{1,3}){3}")
+_TRIGGER = re.compile(r"@|[0-9](?:[\x20()\[\]./-]{0,3}[0-9]){4}|" + _FOURS.pattern)
 _SPELLED = re.compile(r"[(\[]at[)\]]|\x20at\x20[A-Za-z0-9-]+\x20dot\x20", re.IGNORECASE)
 
 
@@ -100,9 +101,10 @@ def base_spans(text: str | None) -> list[Span]:
 
 
 def triggers(text: str) -> list[tuple[int, int]]:
-    """Where personal data may be: signs of addresses, and five digits close together."""
+    """Where personal data may be: signs of addresses, five digits close together, and four groups between dots."""
     out = [m.span() for m in _TRIGGER.finditer(text)]
-    if "at)" in text or "at]" in text or " dot " in text:
+    low = text.lower()
+    if "at)" in low or "at]" in low or " dot " in low:
         out = sorted(out + [m.span() for m in _SPELLED.finditer(text)])
     return out
 
@@ -145,17 +147,18 @@ class Window:
                 continue
             for j in range(i + 1, min(i + LONGEST, len(tokens)) + 1):
                 last = text[tokens[j - 1][0]:tokens[j - 1][1]]
-                if j > i + 1 and ("\n" in last or (len(last) > 1 and last.isspace())):
+                if j > i + 1 and ("\n" in last or (len(last) > 2 and last.isspace())):
                     break
                 if not (last[-1].isalnum()):
                     continue
                 span = text[start:tokens[j - 1][1]]
                 if len(span) > 80:
                     break
-                if _n_digits(span) >= 7:
+                kinds = ("ip", "card", "phone") if _n_digits(span) >= 7 else ("ip",) if _FOURS.fullmatch(span) else ()
+                if kinds:
                     shared = _number_features(span, text, start, tokens[j - 1][1])
-                    out += [(i, j, kind, shared) for kind in ("ip", "card", "phone")]
-                if "@" in span or _SPELLED.search(span) or " at " in span:
+                    out += [(i, j, kind, shared) for kind in kinds]
+                if "@" in span or _SPELLED.search(span) or " at " in span.lower():
                     out.append((i, j, "email", _address_features(span, text, start, tokens[j - 1][1])))
         return out
 

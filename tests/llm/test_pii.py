@@ -86,3 +86,30 @@ def test_odd_rows(spark, odd, none, field):
     assert {r.doc_id: r.spans for r in got}[1] == ""
     assert span_digests(pii.find(none, pii.learn(none)), pii.KINDS, pii.KINDS).count() == 0
     assert pii.learn(odd).spans("a@b.com")[0] == [(0, 7, "email")]
+
+
+PLAIN = [
+    ("email", "ax.66@mail9.example.com"), ("ip", "192.168.10.24"), ("ip", "10.0.0.1"), ("ip", "8.8.8.8"),
+    ("card", "4041894974608795"), ("card", "4524 1322 6465 2876"), ("phone", "+1 (743) 555-3824"),
+]
+
+
+@pytest.mark.parametrize("kind, span", PLAIN)
+@pytest.mark.parametrize("change", [str, str.upper])
+def test_every_rewritten_form_is_a_candidate(kind, span, change):
+    draw = random.Random(5)
+    for form in {pii.rewritten(span, kind, draw) for _ in range(200)}:
+        form = change(form)
+        text = f"{'nothing else is in this text ' * 5}{form}{' and nothing follows but words' * 5}"
+        start = text.index(form)
+        proposed = set()
+        for low, high in pii.windows(text):
+            window = pii.Window.of(text, low, high)
+            proposed |= {(window.tokens[i][0], window.tokens[j - 1][1], k) for i, j, k, _ in window.segments()}
+        assert (start, start + len(form), kind) in proposed, form
+
+
+def test_rewritten_numbers_are_found(field):
+    for span in ("192[.]168[.]10[.]24", "10(.)0(.)0(.)1", "4041/8949/7460/8795", "4041  8949  7460  8795"):
+        text = f"some plain words {span} and more plain words"
+        assert [text[s:e] for s, e, _ in field.spans(text)[1]] == [span]
