@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,20 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 ROWS = 256
 CHARS = 4_000_000
+#: bytes of an Arrow batch between Spark and Python; a single row may be longer
+BATCH_BYTES = 8_000_000
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _small_batches(df: DataFrame) -> None:
+    """Lowers the session's size of Arrow batches to ``BATCH_BYTES`` where it is greater.
+
+    A batch is held whole on both sides of the pipe, in every running task.
+    """
+    conf = df.sparkSession.conf
+    held = int(re.match(r"-?\d+", conf.get(_SETTING)).group())
+    if not 0 < held <= BATCH_BYTES:
+        conf.set(_SETTING, str(BATCH_BYTES))
 
 
 def slices(batch: pa.RecordBatch, text: int | None, rows: int, chars: int) -> Iterator[pa.RecordBatch]:
@@ -39,9 +54,10 @@ def map_columns(
 
     ``make`` runs once per task, so models and caches live as long as a task;
     what it returns gets one list per column of ``df`` and returns one list
-    per field of ``schema``. Memory per slice is bounded by rows and by the
-    size of the column ``text``, whatever the length of an Arrow batch.
+    per field of ``schema``. A slice is bounded by rows and by the size of the
+    column ``text``, and the Arrow batch it is cut from by ``BATCH_BYTES``.
     """
+    _small_batches(df)
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     at = df.columns.index(text) if text else None
 
@@ -64,6 +80,7 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]],
     ``make`` runs once per task; what it returns gets the values of a slice and
     says which of them stay.
     """
+    _small_batches(df)
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,6 +94,7 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]],
 
 def replace_column(df: DataFrame, make: Callable[[], Callable[[list], list]], column: str = "text") -> DataFrame:
     """``df`` with the strings of ``column`` made anew from themselves, slice by slice."""
+    _small_batches(df)
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

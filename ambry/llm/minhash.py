@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ambry.llm.batches import map_columns
+from ambry.llm.batches import CHARS, ROWS, map_columns, slices
 from ambry.llm.components import components
 from ambry.llm.storage import stored
 from ambry.session import cut
@@ -35,7 +35,7 @@ SIMILARITY = Fraction(8, 10)
 MISS = 1e-6
 HASHES = 360
 SEED = 20_240_229
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 RARITY_BITS = 20
 PROFILE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
 
@@ -222,8 +222,9 @@ def _rarity(texts: DataFrame, words: int) -> np.ndarray:
         shingle = Shingler(words)
         total = np.zeros(1 << RARITY_BITS, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(total, _slot(shingle(text)), 1)
+            for piece in slices(batch, 0, ROWS, CHARS):
+                for text in piece.column(0).to_pylist():
+                    np.add.at(total, _slot(shingle(text)), 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
 
@@ -366,7 +367,10 @@ def without_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: Fra
         docs.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id", F.xxhash64("text").alias("_h"))
         .agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id").distinct()
     )
-    rest = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    # the side of the texts is streamed past a table of ids, so it is neither sorted nor held
+    rest = docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    if twice.isEmpty():
+        return rest
     single = rest.join(twice, "doc_id", "left_anti")
     repeated = rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated).select(docs.columns)

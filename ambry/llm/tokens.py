@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 KEPT_LENGTH = 64
 
 
