@@ -8,8 +8,11 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambry.llm import decontamination, extraction, language, minhash, packing, pii, quality, records, secrets, toxicity
+from ambry.llm import decontamination, extraction, language, merkle, minhash, packing, periodic, pii
+from ambry.llm import quality, records, secrets, shallow, toxicity
 from ambry.llm.batches import map_columns
+from ambry.llm.merkle_sql import MANIFEST
+from ambry.llm.periodic_sql import RUNS
 from ambry.llm.quality_sql import RULES
 from ambry.llm.spans import digest, joined
 from ambry.session import scratch_path
@@ -118,3 +121,45 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.fit(docs))
     return span_digests(found, secrets.KINDS[:3], secrets.KINDS)
+
+
+@query("op11_merkle_manifest", MANIFEST)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # some documents lose their line feeds after the manifest was made
+    changed = F.when(fold(2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.manifest(load(spark, sf_dir, "documents"), changed)
+
+
+@query("op12_shallow_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallow.pack_documents(load(spark, sf_dir, "documents"))
+
+
+def rewritten(docs: DataFrame) -> DataFrame:
+    """``docs`` with a tenth of the texts repeating some of their words up to their end."""
+    drawn = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(drawn % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0))
+    number, g = F.size("_w"), F.floor(F.col("_h") / 10)
+    begin = F.when(number > 0, (g % number).cast("int"))
+    period = (1 + F.floor((number - F.col("_a")) / (3 + g % 8))).cast("int")
+    text = F.expr("array_join(concat(slice(_w, 1, _a), transform(sequence(0, size(_w) - _a - 1), i -> _w[_a + i % _p])), ' ')")
+    return (
+        docs.select("doc_id", "text", drawn.alias("_h"), words.alias("_w"))
+        .withColumn("_a", begin).withColumn("_p", period)
+        .select("doc_id", F.when(number > 0, text).otherwise(F.col("text")).alias("text"))
+    )
+
+
+@query("op13_periodic_runs", RUNS)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(rewritten(load(spark, sf_dir, "documents").select("doc_id", "text")))
+    # the greatest exponent by cross multiplication; runs come by start and period, so the first of equals stays
+    best = F.expr("""aggregate(runs, cast(null AS struct<start: bigint, length: bigint, period: bigint>), (b, r) ->
+        CASE WHEN b IS NULL OR r.length * b.period > b.length * r.period THEN r ELSE b END)""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
