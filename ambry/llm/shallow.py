@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from ambry.llm.batches import map_columns
 from ambry.llm.byte_tokens import BYTE_BPE, encoder
+from ambry.llm.storage import stored
 from ambry.llm.tokens import vocabulary
 from ambry.operators.ordering import with_position
-from ambry.session import cut
 
 CAPACITY = 2048
 #: columns that enter the solution together, and how often some may
@@ -36,6 +36,7 @@ STEPS = 100
 #: relative size of what is left unexplained at which the solution is good enough
 CLOSE = 1e-3
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def combinations(present: np.ndarray, capacity: int) -> np.ndarray:
@@ -280,14 +281,22 @@ class Plan:
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = 1) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, ids): token ids of documents in pieces of ``capacity`` and a rest.
 
-    ``ids`` are little-endian unsigned 32-bit where a piece may still be cut, and null where it is full.
+    ``ids`` are little-endian unsigned integers where a piece may still be cut, and null where it is full. They take
+    two bytes each where the vocabulary allows it; ``ids_crc32`` is of four.
     """
     path = path or vocabulary(BYTE_BPE)
     end = int(end_id).to_bytes(4, "little")
 
     def make():
-        encode = encoder(path).encode
+        held = encoder(path)
+        encode = held.encode
         width = 4 * capacity
+        short = max(held.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
+
+        def kept(part):
+            if len(part) == width:
+                return None
+            return np.frombuffer(part, "<u4").astype("<u2").tobytes() if short else part
 
         def apply(ids, texts):
             out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
@@ -295,7 +304,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
                 data += end
                 for at in range(0, len(data), width):
                     part = data[at:at + width]
-                    row = (doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(data) // 4, part if len(part) < width else None)
+                    row = (doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(data) // 4, kept(part))
                     for column, value in zip(out.values(), row, strict=True):
                         column.append(value)
             return out
@@ -312,38 +321,69 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
     holds ``capacity`` ids, but for at most one of each smaller power of two. A
     null or empty text is the end id alone; a null doc_id stays null; repeated
     rows are packed each; equal pieces may trade places; other columns are left
-    out; an empty table packs into none. The ranks are checkpointed before they
-    are used, so places stay the same when work is repeated.
+    out; an empty table packs into none. Pieces are written once and their ranks checkpointed, so places stay
+    the same when work is repeated. Ids are not moved; those of the few pieces that are cut meet their parts again by number.
     """
     if capacity & (capacity - 1):
         raise ValueError("the capacity must be a power of two")
-    held = with_position(cut(pieces(docs, capacity, path, end_id)), "length", "doc_id", "start", "ids_crc32")
-    histogram = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(Plan(histogram, capacity).tables())
+    # the number of a row is written with it, so it stays the same
+    held = stored(pieces(docs, capacity, path, end_id).withColumn("key", F.monotonically_increasing_id()), "shallow-pieces")
+    placed = with_position(held.drop("ids"), "length", "key").drop("_block")
+    histogram = {r["length"]: r["n"] for r in placed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = stored(_parts(placed, Plan(histogram, capacity).tables()), "shallow-parts")
+    whole = parts.where("NOT cut").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    cut_up = parts.where("cut").drop("ids_crc32").join(held.select("key", "ids"), "key")
+    return whole.unionByName(_summed(cut_up))
+
+
+def _parts(placed: DataFrame, tables: list[dict[str, np.ndarray]]) -> DataFrame:
+    """Every part of every piece in its place; ``cut`` says that it is not the piece, and ``begin`` where in it it lies."""
+    shared = placed.sparkSession.sparkContext.broadcast(tables)
+    fields = ("key", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "begin", "cut")
 
     def make():
         tables = shared.value
 
-        def apply(ids, starts, lengths, sums, sizes, contents, positions):
-            out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
-            position = np.array(positions, np.int64)
-            for cuts, table in enumerate(tables):
+        def apply(ids, starts, lengths, sums, sizes, keys, positions):
+            ids, keys = np.array(ids, object), np.array(keys, np.int64)
+            starts, lengths, sums, sizes, position = (np.array(x, np.int64) for x in (starts, lengths, sums, sizes, positions))
+            found = []
+            for table in tables:
                 row = np.searchsorted(table["at"], position, "right") - 1
                 within = position - table["at"][row]
-                for k in np.flatnonzero((row >= 0) & (within < table["count"][row])).tolist():
-                    place = row[k]
-                    begin, length = int(table["start"][place]), int(table["length"][place])
-                    whole = length == lengths[k]
-                    value = (
-                        ids[k], starts[k] + begin, length,
-                        sums[k] if whole else zlib.crc32(contents[k][4 * begin:4 * (begin + length)]), sizes[k],
-                        int(table["sequence"][place] + within[k]), int(table["offset"][place]),
-                    )
-                    for column, v in zip(out.values(), value, strict=True):
-                        column.append(v)
-            return out
+                k = np.flatnonzero((row >= 0) & (within < table["count"][row]))
+                row, within = row[k], within[k]
+                begin, length = table["start"][row], table["length"][row]
+                found.append((
+                    keys[k], ids[k], starts[k] + begin, length, sums[k], sizes[k], table["sequence"][row] + within,
+                    table["offset"][row], begin, length != lengths[k],
+                ))
+            return {name: np.concatenate(x).tolist() for name, x in zip(fields, zip(*found, strict=True), strict=True)}
+
+        return apply
+
+    schema = f"key long, {PACKED}, begin long, cut boolean"
+    order = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "key", "position")
+    return map_columns(placed.select(*order), make, schema, rows=20_000)
+
+
+def _summed(cut_up: DataFrame) -> DataFrame:
+    """Parts of cut pieces with the checksum of their own ids."""
+    names = ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "begin", "ids")
+
+    def make():
+        def apply(*columns):
+            rows = dict(zip(names, columns, strict=True))
+            begins, contents = rows.pop("begin"), rows.pop("ids")
+            sums = []
+            for begin, length, content, start, size in zip(
+                begins, rows["length"], contents, rows["start"], rows["doc_tokens"], strict=True
+            ):
+                # a piece that can be cut is the rest of its document
+                ids = np.frombuffer(content, f"<u{len(content) // (size - start + begin)}")[begin:begin + length]
+                sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+            return {**rows, "ids_crc32": sums}
 
         return apply
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return map_columns(held.drop("_block"), make, schema, rows=4096)
+    return map_columns(cut_up.select(*names), make, PACKED, text="ids")
