@@ -381,3 +381,12 @@ def recall(found: DataFrame, expected: DataFrame, asked: DataFrame) -> DataFrame
         )
         .withColumn("passed", (F.col("missing") == 0) & (F.col("results") >= F.col("min_results")))
     )
+
+
+def overall(judged: DataFrame) -> DataFrame:
+    """One row: queries, how many passed, and the share whose expected documents all came back."""
+    n = F.count(F.lit(1))
+    return judged.agg(
+        n.alias("queries"), F.count_if("passed").alias("passed"),
+        F.round(F.count_if(F.col("missing") == 0) / n, 9).alias("recall"),
+    )
