@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ambry.functions.text import slugify
 from ambry.functions.values import clamp01
+from ambry.operators.ordering import with_position
+from ambry.session import cut
 
 MAX_LABELS = 4
 
@@ -33,9 +35,8 @@ def label_rows(labels: DataFrame, known: DataFrame, most: int = MAX_LABELS) -> D
 def taxonomy_rows(proposal: DataFrame) -> DataFrame:
     """(pos, group_slug, group_name, topic_slug, topic_name): distinct pairs, unique slugs.
 
-    ``proposal`` is (pos, group, topic). A slug already taken gets -2, -3, ...
-    in the order of the proposal. A taxonomy is a list of a few dozen topics
-    that a person signs off, so numbering same-named topics by window is safe.
+    ``proposal`` is (pos, group, topic). In the order of the proposal each topic
+    gets its slug, or the first of slug-2, slug-3, ... that nobody before it has.
     """
     pairs = (
         proposal.select("pos", F.trim("group").alias("group"), F.trim("topic").alias("topic"))
@@ -43,14 +44,44 @@ def taxonomy_rows(proposal: DataFrame) -> DataFrame:
         .groupBy("group", "topic").agg(F.min("pos").alias("pos"))
         .withColumn("base", slugify(F.col("topic")))
     )
-    nth = F.row_number().over(Window.partitionBy("base").orderBy("pos"))
-    slug = F.when(F.col("_n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("_n").cast("string")))
-    return pairs.withColumn("_n", nth).select(
+    return unique_slugs(pairs, "base", "pos").select(
         "pos", slugify(F.col("group")).alias("group_slug"), F.col("group").alias("group_name"),
-        slug.alias("topic_slug"), F.col("topic").alias("topic_name"),
+        F.col("slug").alias("topic_slug"), F.col("topic").alias("topic_name"),
     )
 
 
+def unique_slugs(rows: DataFrame, base: str, order: str) -> DataFrame:
+    """Adds ``slug``: the base, or the first of base-2, base-3, ... that no earlier row has.
+
+    Every row starts with its number among those of its base, which is the
+    least it can get. Where rows of different bases meet in a slug the earliest
+    keeps it, and the others move on, with all later ones of their base. Rounds
+    go on while any meet; only those are looked at, and a row never moves back.
+    """
+    placed = with_position(rows, base, order)
+    firsts = placed.groupBy(base).agg(F.min("position").alias("_first"))
+    held = cut(
+        placed.join(firsts, base).withColumn("_i", F.col("position") - F.col("_first") + 1)
+        .withColumn("_k", F.col("_i")).select(*rows.columns, "_i", "_k")
+    )
+    slug = F.when(F.col("_k") == 1, F.col(base)).otherwise(F.concat_ws("-", base, F.col("_k").cast("string")))
+    while True:
+        named = held.withColumn("slug", slug)
+        met = named.groupBy("slug").agg(F.min(order).alias("_keeps"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        late = cut(
+            named.join(met, "slug").where(F.col(order) > F.col("_keeps"))
+            .select(F.col(base).alias("_b"), F.col("_i").alias("_from"), (F.col("_k") + 1 - F.col("_i")).alias("_lag"))
+        )
+        if late.isEmpty():
+            return named.drop("_i", "_k")
+        moved = held.join(late, (F.col(base) == F.col("_b")) & (F.col("_i") >= F.col("_from")), "left")
+        lag = F.max(F.coalesce("_lag", F.lit(0)))
+        held = cut(
+            moved.groupBy(*rows.columns, "_i", "_k").agg(lag.alias("_m"))
+            .withColumn("_k", F.greatest("_k", F.col("_i") + F.col("_m"))).select(*rows.columns, "_i", "_k")
+        )
+
+
 def set_overlap(labels: DataFrame, baseline: str, config: str) -> DataFrame:
     """(doc_id, shared, either, jaccard, same) between two labellers' topic sets.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +12,6 @@ from ambry.session import cut
 ANCHOR = 16
 # A word start inside a text and the ANCHOR characters from there on.
 _ANCHOR_PATTERN = rf"(?s)(?<=\s)(?=(\S.{{{ANCHOR - 1}}}))"
-DICTIONARY_BLOCK = 5_000
 CUTOFF = 70.0
 
 
@@ -86,55 +83,71 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * common / total
 
 
+#: letters from rare to common; any order keeps the join exact, this one keeps its keys small
+RARE_TO_COMMON = "wkyxjzhqfgbvpcmtldunrsioea "
+
+
+def _letters(col: Column) -> Column:
+    """The characters of a string, each with how often it came before, rarest first: a set that stands for the multiset."""
+    chars = F.filter(F.split(col, ""), lambda c: c != "")
+
+    def numbered(c: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(chars, 1, i), lambda o: o == c))
+        return F.struct((-before).alias("before"), F.instr(F.lit(RARE_TO_COMMON), c).alias("rarity"), c.alias("c"))
+
+    return F.array_sort(F.transform(chars, numbered))
+
+
+def _share(n: Column, m: Column, cutoff: float) -> Column:
+    """How many characters strings of these lengths must have in common for a ratio of ``cutoff``."""
+    return F.ceil((n + m) * F.lit(cutoff) / 200 - 1e-9)
+
+
+def _keyed(strings: DataFrame, text: str, cutoff: float, own: str, other: str) -> DataFrame:
+    """A row for each length that a partner may have and each letter of which one must be shared with it.
+
+    Two sets that share ``t`` members share one among the first ``n - t + 1``
+    of either in any common order.
+    """
+    n = F.length(text)
+    held = strings.where(n > 0).select(text, n.alias(own), _letters(F.col(text)).alias("_l"))
+    least = F.greatest(F.lit(1), F.ceil(F.col(own) * F.lit(cutoff) / (200 - F.lit(cutoff)) - 1e-9))
+    most = F.floor(F.col(own) * (200 - F.lit(cutoff)) / F.lit(cutoff) + 1e-9)
+    wide = held.withColumn(other, F.explode(F.sequence(least.cast("int"), most.cast("int"))))
+    prefix = F.slice("_l", F.lit(1), F.greatest(F.lit(0), F.col(own) - _share(F.col(own), F.col(other), cutoff) + 1).cast("int"))
+    return wide.select(text, own, other, F.explode(prefix).alias("letter"))
+
+
 def nearest_names(names: DataFrame, dictionary: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """(name, match, score): the closest dictionary entry of each distinct name.
 
     ``dictionary`` is (entry_pos, entry); the earliest entry wins a tie and
-    names below the cutoff are absent. A cutoff this low leaves no key to join
-    on, so the curated list travels to the names in blocks of a fixed size --
-    one block for any list a person maintains, more if it has grown -- and the
-    best over the blocks is kept.
+    names below the cutoff are absent. A similarity join: what two strings have
+    in common as a subsequence they share as a multiset of letters, so pairs meet
+    by equality of both lengths and of one of their rare letters. Pairs that
+    share enough letters are measured where they lie. Only an empty name is like an empty entry.
     """
-    distinct = names.select("name").distinct()
-    size = dictionary.count()
-    ordered = dictionary.select("entry_pos", "entry")
-    bounds = [0]
-    if size > DICTIONARY_BLOCK:
-        steps = -(-size // DICTIONARY_BLOCK)
-        bounds = [0, *ordered.approxQuantile("entry_pos", [i / steps for i in range(1, steps)], 0.0)]
-    best = None
-    for i, low in enumerate(bounds):
-        inside = F.col("entry_pos") >= low if i else F.lit(True)
-        if i + 1 < len(bounds):
-            inside = inside & (F.col("entry_pos") < bounds[i + 1])
-        block = [(r.entry_pos, r.entry) for r in ordered.where(inside).orderBy("entry_pos").collect()]
-        part = _scored(distinct, block, cutoff)
-        best = part if best is None else best.unionByName(part)
-    return best.groupBy("name").agg(
-        F.min_by("match", F.struct(-F.col("score"), "entry_pos")).alias("match"), F.max("score").alias("score")
+    entries = dictionary.where("entry IS NOT NULL").groupBy("entry").agg(F.min("entry_pos").alias("entry_pos"))
+    distinct = names.where("name IS NOT NULL").select("name").distinct()
+    met = (
+        _keyed(distinct, "name", cutoff, "n", "m")
+        .join(_keyed(entries, "entry", cutoff, "m", "n"), ["n", "m", "letter"])
+        .select("name", "entry").distinct()
     )
+    common = F.size(F.array_intersect(_letters(F.col("name")), _letters(F.col("entry"))))
+    enough = met.where(common >= _share(F.length("name"), F.length("entry"), cutoff))
 
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-def _scored(names: DataFrame, block: list[tuple[int, str]], cutoff: float) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for name in frame["name"]:
-                top: tuple[float, int, str] | None = None
-                for pos, entry in block:
-                    total = len(name) + len(entry)
-                    bar = cutoff if top is None else top[0]
-                    # the shorter string bounds what the two can have in common
-                    if total and 200.0 * min(len(name), len(entry)) / total < bar:
-                        continue
-                    score = indel_ratio(name, entry)
-                    if score >= cutoff and (top is None or score > top[0]):
-                        top = (score, pos, entry)
-                if top is not None:
-                    out.append((name, top[2], top[1], top[0]))
-            yield pd.DataFrame(out, columns=["name", "match", "entry_pos", "score"])
-
-    return names.mapInPandas(run, "name string, match string, entry_pos long, score double")
+    scored = enough.withColumn("score", ratio("name", "entry")).where(F.col("score") >= cutoff)
+    void = distinct.where("name = ''").join(entries.where("entry = ''").select(F.col("entry").alias("name")), "name", "left_semi").select(
+        "name", F.lit("").alias("entry"), F.lit(100.0).alias("score")
+    )
+    return scored.unionByName(void).join(entries, "entry").groupBy("name").agg(
+        F.min_by("entry", F.struct(-F.col("score"), "entry_pos")).alias("match"), F.max("score").alias("score")
+    )
 
 
 # What is dropped from a name before it is looked up, in this order.
@@ -145,20 +158,16 @@ DROPPED = [
 
 
 def person_candidates(description: Column, credited: Column) -> Column:
-    """Where a person may be named, best first: the text after the last ' por ', the
-    names listed there, then the credited name."""
-    text = F.trim(F.coalesce(description, F.lit("")))
-    tail = F.get(F.split(F.substring_index(text, " por ", -1), r"\R", 2), F.lit(0))
-    listed = F.filter(
-        F.transform(F.split(tail, ",| e "), lambda n: F.trim(n)), lambda n: (n != "") & (n != tail)
-    )
-    named = F.when(text.contains(" por "), F.concat(F.array(tail), listed)).otherwise(
-        F.array().cast("array<string>")
-    )
-    own = F.when(F.coalesce(credited, F.lit("")) != "", F.array(credited)).otherwise(
-        F.array().cast("array<string>")
-    )
-    return F.concat(named, own)
+    """Where a person may be named, best first.
+
+    A description ends in its author after a last " por ", alone or several in
+    one line; the whole of that is offered before each name in it, and the
+    credited name comes last.
+    """
+    said = F.nullif(F.regexp_extract(F.trim(description), r"(?s)^.* por (\V*)", 1), F.lit(""))
+    single = F.transform(F.split(said, ",| e "), lambda n: F.nullif(F.trim(n), F.lit("")))
+    several = F.coalesce(single, F.array().cast("array<string>"))
+    return F.array_distinct(F.array_compact(F.concat(F.array(said), several, F.array(F.nullif(credited, F.lit(""))))))
 
 
 def without_honorifics(col: Column) -> Column:

@@ -11,7 +11,7 @@ from ambry.functions.text import slugify, tokens
 from ambry.operators import integrity, labelling, matching, merging, retrieval
 from ambry.operators.quality import liveness_check
 from ambry.plans import sqltext as q
-from ambry.plans.fuzzy import raw_names
+from ambry.plans.fuzzy import RAW, raw_names
 from ambry.plans.registry import query
 
 CONTAINED = """SELECT b.item_id AS needle_id, min(d.doc_id) AS pos FROM benchmark b
@@ -43,7 +43,22 @@ def j11_contains_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.first_containing(needles, texts)
 
 
-@query("j13_best_fuzzy_match")
+#: the closest entry by the longest common subsequence, its table filled row by row
+NEAREST = f"""
+WITH RECURSIVE names AS (SELECT DISTINCT lower({RAW}) AS name FROM part),
+entries AS (SELECT p_name AS entry, min(p_partkey) AS entry_pos FROM part GROUP BY p_name),
+lcs AS (
+  SELECT name, entry, entry_pos, 0 AS i, list_transform(range(0, length(entry) + 1), lambda x: 0) AS line FROM names, entries
+  UNION ALL
+  SELECT name, entry, entry_pos, i + 1, list_transform(range(1, length(entry) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda h:
+    greatest(line[h], CASE WHEN h > 1 AND substr(entry, h - 1, 1) = substr(name, i + 1, 1) THEN line[h - 1] + 1 ELSE 0 END))))
+  FROM lcs WHERE i < length(name)
+),
+rated AS (SELECT name, entry, entry_pos, 200.0::double * line[length(entry) + 1] / (length(name) + length(entry)) AS score FROM lcs WHERE i = length(name))
+SELECT name, arg_min(entry, (-score, entry_pos)) AS match, max(score) AS score FROM rated WHERE score >= 70 GROUP BY name"""
+
+
+@query("j13_best_fuzzy_match", NEAREST)
 def j13_best_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free-text names against the distinct part names, the earliest part first."""
     entries = tables.load(spark, sf_dir, "part").groupBy(F.col("p_name").alias("entry")).agg(F.min("p_partkey").alias("entry_pos"))
@@ -238,12 +253,22 @@ def f29_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("f30_taxonomy_rows", f"""
-WITH p AS (SELECT p_partkey AS pos, p_brand AS grp, p_type || CASE WHEN p_size % 2 = 0 THEN '!' ELSE '' END AS topic FROM part),
+WITH RECURSIVE p AS (SELECT p_partkey AS pos, p_brand AS grp,
+    p_type || CASE p_size % 5 WHEN 0 THEN '!' WHEN 1 THEN ' 2' WHEN 2 THEN '-2-2' ELSE '' END AS topic FROM part),
 d AS (SELECT grp, topic, min(pos) AS pos, {q.slug('topic')} AS base FROM p GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY pos) AS n FROM d)
-SELECT pos, {q.slug('grp')} AS group_slug, grp AS group_name, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS topic_slug, topic AS topic_name FROM n""")
+n AS (SELECT *, row_number() OVER (ORDER BY pos) AS nth, count(*) OVER (PARTITION BY base) AS same FROM d),
+taken AS (
+  SELECT 0::BIGINT AS nth, []::VARCHAR[] AS used, '' AS slug
+  UNION ALL
+  SELECT nth, list_append(used, slug), slug FROM (SELECT n.nth, used, list_filter(
+      list_transform(range(1, length(used) + 2), lambda k: CASE WHEN k = 1 THEN base ELSE base || '-' || k END),
+      lambda s: NOT list_contains(used, s))[1] AS slug FROM taken JOIN n ON n.nth = taken.nth + 1)
+)
+SELECT pos, {q.slug('grp')} AS group_slug, grp AS group_name, slug AS topic_slug, topic AS topic_name FROM n JOIN taken USING (nth)""")
 def f30_taxonomy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mark = F.when(F.col("p_size") % 2 == 0, "! ").otherwise("")
+    """Topics of several groups, some of which end in the number that another one's slug would get."""
+    size = F.col("p_size") % 5
+    mark = F.when(size == 0, "! ").when(size == 1, " 2").when(size == 2, "-2-2").otherwise("")
     return labelling.taxonomy_rows(tables.load(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("pos"), F.col("p_brand").alias("group"), F.concat(F.lit(" "), "p_type", mark).alias("topic")
     ))

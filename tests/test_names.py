@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ambry.functions import names as N
 from ambry.functions.stem import stem
 from ambry.functions.text import slugify
-from ambry.operators import matching, merging, similar
+from ambry.operators import labelling, matching, merging, similar
 
 
 def lev(a, b):
@@ -139,13 +139,22 @@ def test_indel_ratio_equals_the_table():
         assert abs(matching.indel_ratio(a, b) - want) < 1e-9
 
 
-def test_nearest_names_in_one_block_and_in_many(frame, monkeypatch):
-    names = frame([("joao silvaa",), ("maria",), ("zzzz",)], "name string")
-    entries = frame([(i, n) for i, n in enumerate(["joao silva", "maria", "maria ", "joao"])], "entry_pos long, entry string")
-    want = {"joao silvaa": "joao silva", "maria": "maria"}
-    assert {r.name: r.match for r in matching.nearest_names(names, entries).collect()} == want
-    monkeypatch.setattr(matching, "DICTIONARY_BLOCK", 2)
-    assert {r.name: r.match for r in matching.nearest_names(names, entries).collect()} == want
+def test_nearest_names_equal_all_pairs(frame):
+    rng = random.Random(5)
+    drawn = lambda: "".join(rng.choice("abcde ") for _ in range(rng.randint(0, 14)))
+    names = ["joao silvaa", "maria", "zzzz", "", *(drawn() for _ in range(150))]
+    entries = ["joao silva", "maria", "maria ", "joao", "maria", "", *(drawn() for _ in range(60))]
+    want = {}
+    for name in names:
+        found = [(-matching.indel_ratio(name, e), i, e) for i, e in enumerate(entries)]
+        score, _, entry = min(found)
+        if score <= -70:
+            want[name] = (entry, -score)
+    got = matching.nearest_names(frame([(n,) for n in [*names, None]], "name string"), frame(
+        [*enumerate(entries), (99, None)], "entry_pos long, entry string"
+    )).collect()
+    assert {r.name: (r.match, r.score) for r in got} == want
+    assert want["joao silvaa"][0] == "joao silva" and want["maria"][0] == "maria" and "zzzz" not in want
 
 
 def test_people_from_descriptions(frame):
@@ -189,3 +198,19 @@ def test_stems_of_published_examples(frame):
     }
     got = {r.word: r.stem for r in stem(frame([(w,) for w in want], "word string")).collect()}
     assert {w: got[w] for w in want} == want
+
+
+def test_slugs_are_taken_in_order(frame):
+    rng = random.Random(2)
+    topics = ["Foo", "Foo", "Foo 2", "foo", "Foo-2-2", "Bar", "foo 3", "Foo 2", "bar 2", "Bar"]
+    topics += [rng.choice(["a", "a 2", "a-2-2", "a 3", "b", "a 2 3"]) for _ in range(60)]
+    want, used = {}, set()
+    for pos, topic in enumerate(topics):
+        base = topic.lower().replace(" ", "-")
+        k = 1
+        while (slug := base if k == 1 else f"{base}-{k}") in used:
+            k += 1
+        used.add(slug)
+        want[pos] = slug
+    rows = frame([(i, f"g{i}", t) for i, t in enumerate(topics)], "pos long, group string, topic string")
+    assert {r.pos: r.topic_slug for r in labelling.taxonomy_rows(rows).collect()} == want
