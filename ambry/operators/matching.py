@@ -215,10 +215,13 @@ def refresh_liveness(records: DataFrame, feeds: DataFrame, previous: DataFrame,
 
 
 def liveness(records: DataFrame, slugs: DataFrame) -> DataFrame:
-    """(id, episode, alive) for records that have an episode: is their link in the feed?"""
+    """(id, episode, alive) for records that have an episode: is a link of theirs in the feed?
+
+    A record comes with a row for each of its links.
+    """
     live = slugs.select("slug").distinct().withColumn("_live", F.lit(True))
     return (
         records.where(F.trim(F.coalesce("episode", F.lit(""))) != "")
         .join(live, "slug", "left")
-        .select("id", F.trim("episode").alias("episode"), F.coalesce("_live", F.lit(False)).alias("alive"))
+        .groupBy("id", F.trim("episode").alias("episode")).agg(F.bool_or(F.coalesce("_live", F.lit(False))).alias("alive"))
     )

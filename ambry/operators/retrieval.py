@@ -327,7 +327,7 @@ def bm25_arm(
 
 
 def top_labels(
-    docs: DataFrame, label_vectors: dict[str, Sequence[float]], cutoff: float = 0.5, top: int = 3
+    docs: DataFrame, label_vectors: dict[str, Sequence[float]], cutoff: float = 0.5, top: int = 3, digits: int = 9
 ) -> DataFrame:
     """The closest labels of each document, best first.
 
@@ -337,7 +337,7 @@ def top_labels(
     scored = F.array(
         *[
             F.struct(
-                F.round(-cosine_to(F.col("embedding"), vec), 9).alias("order"),
+                F.round(-cosine_to(F.col("embedding"), vec), digits).alias("order"),
                 F.lit(name).alias("label"),
             )
             for name, vec in label_vectors.items()

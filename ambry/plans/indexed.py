@@ -269,8 +269,8 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.recall(best, expected, texts.select("query_id", F.lit(3).alias("min_results")))
 
 
-@query("a22_golden_search", f"WITH {PLACED}, {GOLDEN} SELECT *, missing = 0 AND results >= min_results AS passed FROM judged")
-def a22_golden_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("a22_recall_at_k", f"WITH {PLACED}, {GOLDEN} SELECT *, missing = 0 AND results >= min_results AS passed FROM judged")
+def a22_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden(spark, sf_dir)
 
 

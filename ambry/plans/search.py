@@ -269,20 +269,22 @@ def r11_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "chunk_index", "rank", F.round("score", 9).alias("score"), "reranked")
 
 
-LABELS = 10
-
-
-@query("j19_label_by_vector", f"""
-WITH lv AS (SELECT vec_id AS l, CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY vec_id LIMIT {LABELS}),
-s AS (SELECT vec_id AS doc_id, 'label-' || l AS label,
-        round(list_inner_product(CAST(embedding AS DOUBLE[]), v)
-          / (sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))
-             * sqrt(list_inner_product(v, v))), 9) AS similarity FROM embeddings, lv),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, label) AS place FROM s WHERE similarity >= 0.25)
+@query("j19_label_by_vector", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+parts AS (SELECT d.lang, i, avg(e.v[i]) AS x FROM e JOIN documents d ON d.doc_id = e.vec_id, range(1, 65) AS r(i) GROUP BY ALL),
+lv AS (SELECT lang AS label, list(x ORDER BY i) AS v FROM parts GROUP BY lang),
+s AS (SELECT vec_id AS doc_id, label, round(list_inner_product(e.v, lv.v) / (sqrt(list_inner_product(e.v, e.v)) * sqrt(list_inner_product(lv.v, lv.v))), 6) AS similarity
+      FROM e, lv),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, label) AS place FROM s WHERE similarity >= 0.05)
 SELECT doc_id, CAST(place AS INTEGER) AS place, label, similarity FROM r WHERE place <= 3""")
 def j19_label_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.vectors(spark, sf_dir)
-    # the closed label list: ten vectors, read once as a client would configure them
-    rows = docs.orderBy("doc_id").limit(LABELS).collect()
-    labels = {f"label-{r.doc_id}": list(r.embedding) for r in rows}
-    return retrieval.top_labels(docs, labels, cutoff=0.25)
+    """The languages nearest to each vector; a language's vector is the mean of all of its documents."""
+    held = tables.vectors(spark, sf_dir)
+    langs = tables.corpus(spark, sf_dir).select("doc_id", "lang")
+    parts = held.join(langs, "doc_id").select("lang", F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("lang", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("lang").agg(
+        F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")
+    )
+    # a row for each label of the closed list
+    labels = {r.lang: [p.x for p in r.v] for r in means.collect()}
+    return retrieval.top_labels(held, labels, cutoff=0.05, digits=6)

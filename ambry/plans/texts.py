@@ -24,9 +24,10 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.corpus(spark, sf_dir)
 
 
-@query("f1_slugify", f"SELECT doc_id, {q.slug(q.title('text'))} AS slug FROM documents")
+@query("f1_slugify", f"SELECT doc_id, md5({q.slug('text')}) AS slug_md5 FROM documents")
 def f1_slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", T.slugify(F.col("title")).alias("slug"))
+    """The slug of every whole text, as a digest."""
+    return docs(spark, sf_dir).select("doc_id", F.md5(T.slugify(F.col("text"))).alias("slug_md5"))
 
 
 @query("f2_fold", f"SELECT doc_id, md5({q.squeeze(q.fold('text'))}) AS folded_md5 FROM documents")
