@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 BYTE_BPE = "byte_bpe_50k.json"
-KEPT_PIECES = 150_000
+KEPT_PIECES = 400_000
 KEPT_LENGTH = 64
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: what the tokenizer takes for white space: the property of that name, nothing else
@@ -33,17 +33,22 @@ class _Pieces(dict):
         self.encode, self.merged = tokenizer.encode, tokenizer.model.tokenize
         self.lead, self.before, self.spelled = lead, lead.translate(spelled), spelled
 
+    def _word(self, spelled: str) -> bytes:
+        ids = [x.id for x in self.merged(self.before + spelled)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
     def _ids(self, piece: str) -> bytes:
-        if piece.isalpha() and piece.isascii():  # such letters are spelled as they are
-            ids = [x.id for x in self.merged(self.before + piece)]
-        elif parts := _WORD.match(piece):
+        if piece.isascii():
+            if piece.isalpha():  # such letters are spelled as they are
+                return self._word(piece)
+            if piece[-1:] in ".," and piece[:-1].isalpha():
+                return (self.get(piece[:-1]) or self._word(piece[:-1])) + self.behind[piece[-1]]
+        if parts := _WORD.match(piece):
             word, marks = parts.groups()
-            if marks:
-                return self[word] + self.behind[marks]
-            ids = [x.id for x in self.merged(self.before + word.encode().decode("latin-1").translate(self.spelled))]
-        else:
-            ids = self.encode(self.lead + piece, add_special_tokens=False).ids
-        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+            ids = self.get(word) or self._word(word.encode().decode("latin-1").translate(self.spelled))
+            return ids + self.behind[marks] if marks else ids
+        ids = self.encode(self.lead + piece, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self._ids(piece)

@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
-KEPT_WORDS = 150_000
+KEPT_WORDS = 400_000
 KEPT_LENGTH = 64
 
 
@@ -58,7 +58,8 @@ class WordEncoder:
             return b""
         mark = self.marks.get(word[-1])
         if mark is not None and word[:-1].isalpha():
-            return self[word[:-1]] + mark
+            known = self.known.get(word[:-1])
+            return (self._word(word[:-1]) if known is None else known) + mark
         if word.isalpha() and max(word) <= "\xff":
             lower = word.lower()
             if lower != word:
