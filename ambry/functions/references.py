@@ -129,34 +129,41 @@ def mentions(texts: DataFrame, catalogue: Catalogue) -> DataFrame:
     a longer spelling a shorter one. ``rest`` is the folded text after it and
     ``limit`` the work's number of chapters.
     """
-    spark = texts.sparkSession
-    spellings = catalogue.spellings(spark)
-    sizes = spellings.agg(F.collect_set("n_pieces")).scalar()
+    spellings = catalogue.spellings(texts.sparkSession).withColumn("begins", F.get(_pieces(F.col("spelling")), F.lit(0)))
+    # how long the spellings are that begin with a word: only there is a stretch of a text looked at
+    openings = spellings.groupBy("begins").agg(F.collect_set("n_pieces").alias("sizes"))
     read = with_numerals(texts.where("text IS NOT NULL").distinct(), "text", "hay").withColumn("p", _pieces(F.col("hay")))
     begins = F.filter(
-        F.sequence(F.lit(0), F.size("p") - 1),
-        lambda i: _is_word(F.get("p", i)) & ~F.coalesce(_is_word(F.get("p", i - 1)), F.lit(False)),
+        F.transform("p", lambda x, i: F.struct(i.alias("at"), x.alias("piece"))),
+        lambda s: _is_word(s["piece"]) & ~F.coalesce(_is_word(F.get("p", s["at"] - 1)), F.lit(False)),
     )
-    starts = read.where("size(p) > 0").withColumn("sizes", sizes).select("text", "p", "sizes", F.explode(begins).alias("at"))
-    # only stretches of as many pieces as some spelling has
+    starts = read.where("size(p) > 0").select("text", "p", F.explode(begins).alias("s")).select("text", "p", "s.at", "s.piece")
+    known = starts.join(openings, F.col("piece") == F.col("begins"))
     widths = F.filter("sizes", lambda n: F.col("at") + n <= F.size("p"))
-    stretches = starts.select("text", "p", "at", F.explode(widths).alias("n")).select(
-        "text", "at", F.array_join(F.slice("p", F.col("at") + 1, F.col("n")), "").alias("spelling"),
-        F.coalesce(_is_word(F.get("p", F.col("at") + F.col("n"))), F.lit(False)).alias("goes_on"),
-        F.array_join(F.slice("p", F.col("at") + F.col("n") + 1, F.size("p")), "").alias("rest"),
-    )
-    hits = stretches.join(spellings, "spelling").where(
-        F.when(F.col("tier") == 0, ~F.col("goes_on")).otherwise(F.ltrim("rest").rlike("^[0-9]"))
+    stretches = known.select("text", "p", "at", F.explode(widths).alias("n")).select(
+        "text", "p", "at", "n", F.array_join(F.slice("p", F.col("at") + 1, F.col("n")), "").alias("spelling")
     )
+    behind = F.col("at") + F.col("n")
+    rest = F.array_join(F.slice("p", behind + 1, F.size("p")), "")
+    hits = stretches.join(spellings.drop("begins"), "spelling").select(
+        "text", "at", "tier", "spelling", "slug", "chapters", rest.alias("rest"),
+        F.coalesce(_is_word(F.get("p", behind)), F.lit(False)).alias("goes_on"),
+    ).where(F.when(F.col("tier") == 0, ~F.col("goes_on")).otherwise(F.ltrim("rest").rlike("^[0-9]")))
     first = F.min_by(F.struct("slug", "chapters", "rest"), F.struct("at", "tier", -F.length("spelling"))).alias("m")
     return hits.groupBy("text").agg(first).select(
         "text", F.col("m.slug").alias("work"), F.col("m.chapters").alias("limit"), F.col("m.rest").alias("rest")
     )
 
 
-def find_work(df: DataFrame, text: str, catalogue: Catalogue, prefix: str = "ref_") -> DataFrame:
-    """Adds the earliest mention of a work: ``{prefix}work``, ``{prefix}limit`` and ``{prefix}rest``."""
-    found = mentions(df.select(F.col(text).alias("text")), catalogue)
+def find_work(
+    df: DataFrame, text: str, catalogue: Catalogue, prefix: str = "ref_", found: DataFrame | None = None
+) -> DataFrame:
+    """Adds the earliest mention of a work: ``{prefix}work``, ``{prefix}limit`` and ``{prefix}rest``.
+
+    ``found`` are the ``mentions`` of these and perhaps other texts, where they are known already.
+    """
+    if found is None:
+        found = mentions(df.select(F.col(text).alias("text")), catalogue)
     renamed = found.select(
         F.col("text").alias("_text"), *[F.col(c).alias(f"{prefix}{c}") for c in ("work", "limit", "rest")]
     )
@@ -199,7 +206,9 @@ def _numbers(rest: Column) -> Column:
     return F.aggregate(tokens, F.struct(F.lit("start").alias("state"), none.alias("found")), step, lambda s: s["found"])
 
 
-def parse_reference(df: DataFrame, text: str, catalogue: Catalogue, prefix: str = "ref_") -> DataFrame:
+def parse_reference(
+    df: DataFrame, text: str, catalogue: Catalogue, prefix: str = "ref_", found: DataFrame | None = None
+) -> DataFrame:
     """Adds work, chapter_start, chapter_end, verse_start and verse_end, prefixed.
 
     A chapter outside its work leaves the work alone; a chapter range running
@@ -207,7 +216,7 @@ def parse_reference(df: DataFrame, text: str, catalogue: Catalogue, prefix: str
     after a comma or 'e' extend the verses.
     """
     p = prefix
-    df = find_work(df, text, catalogue, p).withColumn(f"{p}read", _numbers(F.coalesce(f"{p}rest", F.lit(""))))
+    df = find_work(df, text, catalogue, p, found).withColumn(f"{p}read", _numbers(F.coalesce(f"{p}rest", F.lit(""))))
 
     def said(state: str, place: int = 0) -> Column:
         mine = F.transform(F.filter(f"{p}read", lambda r: r["state"] == state), lambda r: r["number"])

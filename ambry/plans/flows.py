@@ -13,7 +13,7 @@ from ambry.plans import browse, ordered
 from ambry.plans import sqltext as q
 from ambry.plans.registry import ORACLES, query
 from ambry.session import scratch_path
-from ambry.sources import records, site, transcripts
+from ambry.sources import records, site, splits, transcripts
 from ambry.streaming import ingest, limiter
 
 
@@ -71,6 +71,29 @@ def s1_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_csv(spark, path, rows.columns).select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
 
 
+@query("s1_split_records", """
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, md5(text || ', "' || chr(10) || role || '"' || chr(13) || chr(10) || text) AS text_md5
+FROM conversations""")
+def s1_split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with quotes and line breaks, read back by splits that know nothing of each other."""
+    path = scratch_path(spark, "csv")
+    text = F.concat("text", F.lit(', "\n'), "role", F.lit('"\r\n'), "text")
+    rows = tables.load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("text"))
+    records.write_csv(rows, path, rows.columns)
+    return splits.read_split_csv(spark, path, rows.columns).select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@query("s3_parse_texts", """
+SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations""")
+def s3_parse_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a document of its own that holds a header and one quoted record."""
+    rows = tables.load(spark, sf_dir, "conversations").withColumn("key", F.concat_ws("/", "conv_id", "turn"))
+    quoted = F.concat(F.lit('role,text\n'), "role", F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"\n'))
+    found = splits.parse_texts(rows.select("key", quoted.alias("text")), "key", "text", ["role", "text"]).where("n > 0")
+    at = F.split("key", "/")
+    return found.select(at[0].cast("long").alias("conv_id"), at[1].cast("long").alias("turn"), "role", F.md5("text").alias("text_md5"))
+
+
 @query("s2_csv_lines", """
 WITH c AS (SELECT page_id, url, '"' || replace(html, '"', '""') || '"' AS cell FROM pages)
 SELECT md5(page_id || ',' || url || ',' || cell) AS line_md5 FROM c""")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ambry import tables
-from ambry.functions.text import slugify, tokens
-from ambry.operators import integrity, labelling, matching, merging, retrieval
+from ambry.functions.text import slugify
+from ambry.operators import integrity, labelling, matching, merging, snapshots
 from ambry.operators.quality import liveness_check
 from ambry.plans import sqltext as q
 from ambry.plans.fuzzy import RAW, raw_names
@@ -111,6 +112,39 @@ def a13_dead_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return liveness_check(previous, live_rows(spark, sf_dir))
 
 
+# Four looks at a feed of the newest 500 entries, some of which are missing from one look or another.
+SNAPSHOTS = """
+looks AS (SELECT unnest(range(0, 4)) AS snapshot, (SELECT max(l_orderkey) + 1 FROM lineitem) AS n),
+shown AS (SELECT DISTINCT snapshot, l_orderkey AS slug, n - l_orderkey AS place FROM lineitem, looks
+          WHERE l_orderkey <= n - 600 + 150 * snapshot AND (l_orderkey * 7 + snapshot * 3) % 11 <> 0),
+snaps AS (SELECT * FROM shown QUALIFY row_number() OVER (PARTITION BY snapshot ORDER BY place) <= 500)"""
+
+
+def feed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = tables.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("slug")).distinct()
+    n = orders.agg((F.max("slug") + 1)).scalar()
+    looks = [
+        orders.withColumn("n", n).where((F.col("slug") <= F.col("n") - 600 + 150 * k) & ((F.col("slug") * 7 + 3 * k) % 11 != 0))
+        .orderBy(F.desc("slug")).limit(snapshots.WINDOW).select(F.lit(k).alias("snapshot"), "slug", (F.col("n") - F.col("slug")).alias("place"))
+        for k in range(4)
+    ]
+    return reduce(DataFrame.unionByName, looks)
+
+
+@query("t2_rolling_liveness", f"""WITH {SNAPSHOTS},
+firsts AS (SELECT slug, min(snapshot) AS first FROM snaps GROUP BY slug),
+edges AS (SELECT snapshot, max(place) AS oldest FROM snaps GROUP BY snapshot),
+came AS (SELECT s.snapshot, s.slug, CASE WHEN first < s.snapshot THEN 'back' ELSE 'new' END AS change FROM snaps s JOIN firsts USING (slug)
+         WHERE NOT EXISTS (SELECT 1 FROM snaps p WHERE p.slug = s.slug AND p.snapshot = s.snapshot - 1)),
+went AS (SELECT p.snapshot + 1 AS snapshot, p.slug, CASE WHEN p.place > oldest THEN 'aged' ELSE 'died' END AS change
+         FROM snaps p JOIN edges e ON e.snapshot = p.snapshot + 1
+         WHERE NOT EXISTS (SELECT 1 FROM snaps s WHERE s.slug = p.slug AND s.snapshot = p.snapshot + 1))
+SELECT CAST(snapshot AS INTEGER) AS snapshot, slug, change FROM came UNION ALL SELECT CAST(snapshot AS INTEGER), slug, change FROM went""")
+def t2_rolling_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What came, came back, aged out or died between four looks at a feed of the newest 500."""
+    return snapshots.changes(feed_snapshots(spark, sf_dir))
+
+
 POINTERS = "CASE WHEN c_nationkey % 2 = 0 THEN c_custkey - c_nationkey WHEN c_nationkey = 7 THEN c_custkey + 1 END"
 
 
