@@ -4,8 +4,10 @@ Markup is stripped first: block elements end a line, and lines in parts of a
 page that are never its text (menus, scripts, notices, ...) count as empty.
 The lengths of the remaining lines are summed over a sliding window. The text
 starts where the sum surges and ends where it dives to nothing; between them
-every line is kept. Of several such stretches, the one with most text is it,
-and where a page marks its article, lines outside it count as empty too.
+every line is kept. This curve decides on every page. Tags weigh its lines:
+where a page marks articles, lines outside them weigh nothing, a surge is any
+text, and all stretches count. Elsewhere lines that are mostly links weigh nothing, and
+of the stretches, joined where only such lines part them, the one with most text is the text.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ SURGE = 80
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
+    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>",
     re.DOTALL,
 )
@@ -56,6 +58,9 @@ MARKS = {
     "disqus", "reply", "replies", "respond", "share", "sharing", "social", "related", "recommended", "widget", "widgets",
     "pagination", "pager", "skip", "toolbar", "copyright", "disclaimer", "contentinfo", "search", "complementary",
 }
+#: fixed values: those that may as well name what a part of an article is about, and words that show they do not
+WEAK = {"search", "related", "top", "skip", "notice", "notices", "alert", "reply", "share", "copyright", "disclaimer", "menu", "foot"}
+PART = {"box", "bar", "block", "form", "links", "link", "posts", "articles", "stories", "list", "section", "button", "buttons", "icons", "wrapper"}
 #: fixed values: words in class, id and role that mark the top of a page, but also that of an article
 TOP = {"header", "topbar", "top"}
 CONTENT = {"article", "content", "entry", "post", "story", "headline", "title"}
@@ -75,8 +80,8 @@ class Line:
     plain: int
     #: whether it lies in a part that is never text
     apart: bool
-    #: number of the article it lies in, 0 outside any
-    article: int
+    #: whether it lies in an article
+    article: bool
     heading: bool
 
 
@@ -86,11 +91,15 @@ def _marked(attributes: str, in_article: bool) -> bool:
         value = next((v for v in values if v), "")
         if name in ("class", "id", "role"):
             said = set(re.split(r"[^a-z0-9]+", _hyphened(value)))
-            if MARKS & said or (TOP & said and not CONTENT & said and not in_article):
+            marks = MARKS & said
+            if in_article and marks and marks <= WEAK and len(marks) == 1 and not said - marks & PART:
+                continue
+            if marks or (TOP & said and not CONTENT & said and not in_article):
                 return True
         if name == "aria-hidden" and value.lower() == "true":
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?=[\s=/]|$)", attributes))
+    # the attribute of that name, not a word in a value
+    return bool(re.search(r"(?:^|\s)hidden(?=[\s=/]|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
 
 
 def _hyphened(value: str) -> str:
@@ -106,17 +115,16 @@ def lines(page: str) -> list[Line]:
     #: open elements: (name, whether it is apart, whether it is an article)
     open_elements: list[tuple[str, bool, bool]] = []
     apart = links = articles = 0
-    number = 0
 
     def end_line() -> None:
         text = " ".join(html.unescape("".join(pieces)).split())
         if text and apart:
             if not (out and out[-1].apart):  # one line stands for all of a part
-                out.append(Line("", 0, True, number if articles else 0, False))
+                out.append(Line("", 0, True, articles > 0, False))
         elif text:
             outside = " ".join(html.unescape("".join(plain)).split())
             heading = any(re.fullmatch(r"h[1-6]", e[0]) for e in open_elements)
-            out.append(Line(text, len(outside), False, number if articles else 0, heading))
+            out.append(Line(text, len(outside), False, articles > 0, heading))
         pieces.clear()
         plain.clear()
 
@@ -191,8 +199,6 @@ def lines(page: str) -> list[Line]:
         is_apart = name in APART or (name == "header" and not articles) or (
             name not in ("html", "body") and not is_article and _marked(m["attributes"], articles > 0)
         )
-        if is_article and not articles:
-            number += 1
         open_elements.append((name, is_apart, is_article))
         if is_apart:
             if not apart:
@@ -219,41 +225,43 @@ def stretches(sums: list[int], surge: int) -> list[tuple[int, int]]:
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The page's text, a block to a line; empty for null, for no markup with text, and for boilerplate alone."""
-    found = lines(page or "")
-    sizes: dict[int, int] = {}
-    for line in found:
-        if line.article and not line.apart:
-            sizes[line.article] = sizes.get(line.article, 0) + len(line.text)
-    if sizes:
-        # the page names its article: the first of those with most text
-        chosen = max(sizes, key=lambda k: (sizes[k], -k))
-        weights = [len(x.text) if x.article == chosen else 0 for x in found]
-        surge = 1
-    else:
-        # lines that are mostly links are menus
-        weights = [x.plain if 2 * x.plain >= len(x.text) else 0 for x in found]
+def window_sums(weights: list[int], window: int) -> list[int]:
+    """The weight of each line and the ``window - 1`` after it: a surge is seen where the text begins."""
     total, sums = 0, []
-    for i, weight in enumerate(weights):
-        total += weight - (weights[i - window] if i >= window else 0)
+    for i in range(len(weights) - 1, -1, -1):
+        total += weights[i] - (weights[i + window] if i + window < len(weights) else 0)
         sums.append(total)
-    # a window's sum stands at its first line, so a surge is seen where the text begins
-    ahead = sums[window - 1:] + [sum(weights[i:]) for i in range(max(0, len(weights) - window + 1), len(weights))]
-    if sizes:
-        # nothing between the first and the last line of an article is lost, however far apart they are
-        marked = [i for i, w in enumerate(weights) if w]
-        chosen_lines = range(marked[0], marked[-1] + 1)
-    else:
-        surge = min(surge, max([1, *ahead]))
-        begin, end = max(stretches(ahead, surge), key=lambda s: sum(weights[s[0]:s[1]]), default=(0, 0))
-        # a short line that a skipped part cuts off from the text is no text, unless it is a heading
-        while begin < end and _stray(found, weights, range(begin, end), surge):
-            begin += 1
-        while begin < end and _stray(found, weights, range(end - 1, begin - 1, -1), surge):
-            end -= 1
-        chosen_lines = range(begin, end)
-    return "\n".join(found[i].text for i in chosen_lines if weights[i])
+    return sums[::-1]
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The page's text, a block to a line; empty for null, for no markup with text, and for boilerplate alone.
+
+    On pages with articles all of them are text, side by side or apart. Of
+    equally long stretches elsewhere the first is.
+    """
+    found = lines(page or "")
+    if any(x.article and x.text for x in found):
+        weights = [len(x.text) if x.article else 0 for x in found]
+        inside = stretches(window_sums(weights, window), 1)
+        return "\n".join(found[i].text for begin, end in inside for i in range(begin, end) if weights[i])
+    # lines that are mostly links are menus
+    weights = [x.plain if 2 * x.plain >= len(x.text) else 0 for x in found]
+    ahead = window_sums(weights, window)
+    surge = min(surge, max([1, *ahead]))
+    joined: list[tuple[int, int]] = []
+    for begin, end in stretches(ahead, surge):
+        # links that stand between two parts of a text belong to it, unless a skipped part is there too
+        if joined and not any(x.apart for x in found[joined[-1][1]:begin]):
+            begin = joined.pop()[0]
+        joined.append((begin, end))
+    begin, end = max(joined, key=lambda s: sum(weights[s[0]:s[1]]), default=(0, 0))
+    # a short line that a skipped part cuts off from the text is no text, unless it is a heading
+    while begin < end and _stray(found, weights, range(begin, end), surge):
+        begin += 1
+    while begin < end and _stray(found, weights, range(end - 1, begin - 1, -1), surge):
+        end -= 1
+    return "\n".join(x.text for x in found[begin:end] if x.text)
 
 
 def _stray(found: list[Line], weights: list[int], order: range, surge: int) -> bool:
