@@ -9,6 +9,14 @@ from ambry.functions.names import collection_kind, lenient_key
 from ambry.functions.text import slugify
 
 
+def stacked(*frames: DataFrame) -> DataFrame:
+    """All rows of all frames, with the columns of any; what a frame does not have is null in its rows."""
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
 def follow(links: DataFrame, hops: int = 9) -> DataFrame:
     """(id, root): where ``merge_into`` pointers lead after at most ``hops`` steps.
 

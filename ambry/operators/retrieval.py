@@ -264,6 +264,21 @@ def rerank(
     )
 
 
+def replied(candidates: DataFrame, reply: DataFrame) -> DataFrame:
+    """The candidates that a reranker's reply names, in its order.
+
+    ``reply`` is (index, score), where index counts the candidates by ``rank``
+    from 0; an index that is none of theirs is dropped, and of several scores
+    for one the best counts. Equal scores keep the order the candidates had.
+    """
+    best = reply.groupBy("index").agg(F.max("score").alias("_reply"))
+    told = candidates.drop("score").join(best, candidates["rank"] - 1 == best["index"])
+    order = Window.orderBy(F.desc("_reply"), "rank")
+    return told.withColumn("_place", F.row_number().over(order)).select(
+        *[c for c in candidates.columns if c not in ("rank", "score")], F.col("_place").alias("rank"), F.col("_reply").alias("score")
+    )
+
+
 def search(
     docs: DataFrame,
     passages: DataFrame,

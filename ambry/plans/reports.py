@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ambry import tables
 from ambry.functions import values as V
 from ambry.functions.vectors import vector_text
-from ambry.operators import catalogue, facets, index, retrieval
+from ambry.operators import catalogue, facets, index, merging, retrieval
 from ambry.operators.filters import SearchRequest
 from ambry.plans import browse, search
 from ambry.plans import sqltext as q
@@ -97,6 +97,20 @@ def u1_union_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.unionByName(cached)
 
 
+@query("u6_union_of_columns", """
+SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS VARCHAR) AS brand FROM customer
+UNION ALL SELECT s_suppkey, s_name, NULL, NULL, NULL FROM supplier
+UNION ALL SELECT p_partkey, p_name, NULL, p_retailprice, p_brand FROM part""")
+def u6_union_of_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of three tables that have some columns in common."""
+    customers = tables.load(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    suppliers = tables.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    parts = tables.load(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.col("p_brand").alias("brand"))
+    return merging.stacked(customers, suppliers, parts)
+
+
 @query("u2_last_wins", """
 SELECT coalesce(l.doc_id, e.vec_id) AS doc_id, coalesce(e.label, l.quality) AS value
 FROM labels l FULL OUTER JOIN embeddings e ON e.vec_id = l.doc_id""")

@@ -181,6 +181,19 @@ def r6_knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.semantic_arm(rows, near_vector(spark, sf_dir), 50)
 
 
+@query("j18_rerank_reply", f"""
+WITH qv AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = {NEAR}),
+c AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY {DISTANCE}, vec_id) AS rank FROM embeddings e, qv QUALIFY rank <= 50),
+reply AS (SELECT p_partkey % 70 - 10 AS index, max(p_retailprice) AS score FROM part GROUP BY ALL)
+SELECT doc_id, CAST(row_number() OVER (ORDER BY score DESC, rank) AS INTEGER) AS rank, score FROM c JOIN reply ON index = rank - 1""")
+def j18_rerank_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty candidates in the order of a reply by position, some of whose positions are out of range."""
+    rows = tables.vectors(spark, sf_dir).withColumn("chunk_index", F.lit(0))
+    candidates = retrieval.semantic_arm(rows, near_vector(spark, sf_dir), 50).select("doc_id", "rank")
+    reply = tables.load(spark, sf_dir, "part").select((F.col("p_partkey") % 70 - 10).alias("index"), F.col("p_retailprice").alias("score"))
+    return retrieval.replied(candidates, reply).select("doc_id", "rank", "score")
+
+
 @query("r13_normalize", """
 WITH v AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 n AS (SELECT doc_id, e, sqrt(list_inner_product(e, e)) AS n FROM v)

@@ -16,12 +16,13 @@ from ambry.plans import QUERIES
 from ambry.session import local_session
 
 HEADLINE = [
+    "r2_positional_index", "r5_cover_density", "r7_hybrid_facets", "r10_filtered_search", "r19_bm25_phrases",
     "r7_hybrid_search", "r7_hybrid_filtered", "r4_lexical_match", "r5_lexical_rank", "r6_knn_cosine",
     "r19_bm25", "r15_chunks", "r17_incremental_diff", "s16_chunk_merge", "r22_paragraphs", "r21_snippet",
     "a1_book_chapter", "a2_book_tree", "a4_by_person", "a5_year_month_tree", "a9_drill_sideways",
     "a9_counts_unfiltered", "o4_list_page", "j7_nested_includes", "c4_load", "f7_parse_reference",
     "f11_parse_title", "j11_contains_first_match", "j12_fuzzy_pairs", "c1_clusters", "c5_integrity",
-    "a18_agreement", "a22_recall_at_k", "w8_shards", "a12_content_seconds", "t1_rate_limiter", "t3_stream_upsert",
+    "a18_agreement", "a22_recall_at_k", "j13_best_fuzzy_match", "f30_taxonomy_rows", "s1_split_records", "w8_shards", "a12_content_seconds", "t1_rate_limiter", "t3_stream_upsert",
 ]
 
 
