@@ -44,10 +44,9 @@ def first_containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
     # at most ANCHOR different sizes
     sizes = sorted(r[0] for r in bare.select(F.length("anchor")).distinct().collect())
     if sizes:
-        n = F.length("text")
-        spots = lowered.select("pos", "text", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size")).where(
-            n >= F.col("size")
-        ).select("pos", F.explode(F.expr("array_distinct(transform(sequence(1, length(text) - size + 1), i -> substring(text, i, size)))")).alias("anchor"))
+        # every stretch of such a size, read off in one pass each: the pattern looks ahead and moves by one
+        stretches = F.array(*[F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sizes])
+        spots = lowered.select("pos", F.explode(F.array_distinct(F.flatten(stretches))).alias("anchor"))
         pairs = pairs.unionByName(_rarest_pairs(bare, spots))
 
     verified = pairs.join(lowered, "pos").where(F.col("text").contains(F.col("needle")))
