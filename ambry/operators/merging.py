@@ -51,14 +51,8 @@ def published_slugs(members: DataFrame, committed: DataFrame) -> DataFrame:
     return known.join(committed, "variant_slug").groupBy("id").agg(F.min_by("slug", "place").alias("prior"))
 
 
-def build_collections(clusters: DataFrame, decisions: DataFrame, prior: DataFrame | None = None) -> DataFrame:
-    """(slug, name, kind, parent_slug, description, total), one row per collection.
-
-    ``clusters`` is (id, head, count), ``decisions`` (id, name, description,
-    parent, merge_into), ``prior`` (id, prior). Clusters with the same slug
-    merge, the lowest id naming them. Parents resolve by lenient key unless
-    that is the row itself, and a row used as a parent is a course head.
-    """
+def _placed(clusters: DataFrame, decisions: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """Every cluster with the name and the slug of the collection it goes to."""
     roots = follow(decisions)
     placed = clusters.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     heads = clusters.select(F.col("id").alias("root"), F.col("head").alias("root_head"))
@@ -72,11 +66,34 @@ def build_collections(clusters: DataFrame, decisions: DataFrame, prior: DataFram
         of_root = prior.select(F.col("id").alias("root"), F.col("prior").alias("of_root"))
         named = named.join(own, "id", "left").join(of_root, "root", "left")
         slug = F.coalesce("own", "of_root", slug)
+    return named.withColumn("slug", slug)
+
+
+def collection_variants(
+    clusters: DataFrame, decisions: DataFrame, members: DataFrame, prior: DataFrame | None = None
+) -> DataFrame:
+    """(slug, variants): the names that went to each collection, by cluster and place, with bars between.
+
+    ``members`` is (id, place, name). A name that several clusters bear is listed for each.
+    """
+    owned = members.join(_placed(clusters, decisions, prior).select("id", "slug"), "id")
+    listed = F.array_sort(F.collect_list(F.struct("id", "place", "name")))
+    return owned.groupBy("slug").agg(F.array_join(F.transform(listed, lambda m: m["name"]), "|").alias("variants"))
+
+
+def build_collections(clusters: DataFrame, decisions: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """(slug, name, kind, parent_slug, description, total), one row per collection.
+
+    ``clusters`` is (id, head, count), ``decisions`` (id, name, description,
+    parent, merge_into), ``prior`` (id, prior). Clusters with the same slug
+    merge, the lowest id naming them. Parents resolve by lenient key unless
+    that is the row itself, and a row used as a parent is a course head.
+    """
+    named = _placed(clusters, decisions, prior)
     plain = collection_kind(F.col("name"))
     kind = F.when(plain == "ebd", collection_kind(F.col("head"))).otherwise(plain)
     rows = (
-        named.withColumn("slug", slug)
-        .groupBy("slug")
+        named.groupBy("slug")
         .agg(
             F.min_by(
                 F.struct("name", kind.alias("kind"), F.coalesce("description", F.lit("")).alias("description"),

@@ -166,12 +166,15 @@ def c2_merge_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.follow(pointers(spark, sf_dir))
 
 
-@query("c2_collections", f"""WITH RECURSIVE {ROOTS},
+PLACED = f"""WITH RECURSIVE {ROOTS},
 c AS (SELECT c.c_custkey AS id, 'Curso ' || c.c_nationkey AS head, CAST(c.c_custkey % 5 + 1 AS BIGINT) AS count, r.root, d.c_nationkey AS rn
       FROM customer c JOIN roots r ON r.id = c.c_custkey JOIN customer d ON d.c_custkey = r.root),
 named AS (SELECT id, head, count, CASE WHEN rn = 3 THEN 'Curso ' || rn WHEN rn = 5 THEN 'CFW ' || rn ELSE 'O Curso ' || rn END AS name,
             CASE WHEN rn % 3 = 1 THEN 'Curso ' || (rn + 1) END AS parent FROM c),
-s AS (SELECT {q.slug('name')} AS slug, * FROM named),
+s AS (SELECT {q.slug('name')} AS slug, * FROM named)"""
+
+
+@query("c2_collections", PLACED + f""",
 rows AS (SELECT slug, arg_min(struct_pack(name := name, head := head, parent := parent, id := id), id) AS r, CAST(sum(count) AS BIGINT) AS total FROM s GROUP BY slug),
 keyed AS (SELECT *, regexp_replace(slug, '^(a|o|as|os)-', '') AS key FROM rows),
 targets AS (SELECT key, arg_max(slug, r.id) AS target FROM keyed GROUP BY key),
@@ -181,13 +184,29 @@ linked AS (SELECT k.slug, k.r, k.total, CASE WHEN k.r.parent IS NULL THEN NULL W
 SELECT slug, r.name AS name, CASE WHEN slug IN (SELECT parent_slug FROM linked WHERE parent_slug IS NOT NULL) OR r.name LIKE 'CFW%' THEN 'cfw' ELSE 'ebd' END AS kind,
   parent_slug, '' AS description, total FROM linked""")
 def c2_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merging.build_collections(*clusters_and_decisions(spark, sf_dir))
+
+
+@query("c2_variants", PLACED + """,
+m AS (SELECT id, 0 AS place, head AS name, slug FROM s UNION ALL SELECT id, 1, c_name, slug FROM s JOIN customer ON c_custkey = id)
+SELECT slug, md5(string_agg(name, '|' ORDER BY id, place)) AS variants_md5, count(*) AS names FROM m GROUP BY slug""")
+def c2_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names behind each collection: a cluster's head and its customer."""
+    clusters, decisions = clusters_and_decisions(spark, sf_dir)
+    names = tables.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit(1).alias("place"), F.col("c_name").alias("name"))
+    members = clusters.select("id", F.lit(0).alias("place"), F.col("head").alias("name")).unionByName(names)
+    return merging.collection_variants(clusters, decisions, members).select(
+        "slug", F.md5("variants").alias("variants_md5"), F.size(F.split("variants", "[|]")).cast("long").alias("names")
+    )
+
+
+def clusters_and_decisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     n = F.col("nation").cast("string")
     rows = pointers(spark, sf_dir)
     clusters = rows.select("id", F.concat(F.lit("Curso "), n).alias("head"), (F.col("id") % 5 + 1).alias("count"))
     name = F.when(F.col("nation") == 3, "").when(F.col("nation") == 5, F.concat(F.lit("CFW "), n)).otherwise(F.concat(F.lit("O Curso "), n))
     parent = F.when(F.col("nation") % 3 == 1, F.concat(F.lit("Curso "), (F.col("nation") + 1).cast("string")))
-    decisions = rows.select("id", name.alias("name"), F.lit("").alias("description"), parent.alias("parent"), "merge_into")
-    return merging.build_collections(clusters, decisions)
+    return clusters, rows.select("id", name.alias("name"), F.lit("").alias("description"), parent.alias("parent"), "merge_into")
 
 
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
