@@ -92,15 +92,17 @@ def sample_text(
     )
 
 
+# Marks that a shortened text does not end in.
+LOOSE_ENDS = " .,;:\u2014\u2013-"
+
+
 def summarise(col: Column, limit: int = 160) -> Column:
-    """A description of at most ``limit`` characters, cut between words."""
+    """A description of at most ``limit`` characters: whole words, if they fill more than half of it."""
     flat = squeeze(col)
-    cut = F.substring(flat, 1, limit)
-    # characters before the last space of the cut, 0 when it has none
-    before_space = F.length(cut) - F.length(F.substring_index(cut, " ", -1)) - 1
-    body = F.when(before_space > limit / 2, F.left(cut, before_space)).otherwise(cut)
-    trimmed = F.regexp_replace(body, r"[\s.,;:—–-]+$", "")
-    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(trimmed, F.lit("…")))
+    cut = F.left(flat, F.lit(limit))
+    whole = F.regexp_extract(cut, f"^(.{{{limit // 2 + 1},}}) ", 1)
+    body = F.rtrim(F.coalesce(F.nullif(whole, F.lit("")), cut), F.lit(LOOSE_ENDS))
+    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(body, F.lit("\u2026")))
 
 
 # The five characters markup must escape, ampersand first.
