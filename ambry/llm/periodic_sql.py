@@ -1,4 +1,4 @@
-"""The SQL that gives the rows of ``op13_periodic_runs``."""
+"""The SQL that gives the rows of ``op13_periodic_runs``; whole numbers that may be null are doubles, as clients hold them."""
 
 from ambry.llm.merkle_sql import CRC32
 
@@ -36,8 +36,8 @@ WITH split AS (
         arg_min({{'start': start, 'length': length, 'period': period}}, (-(length / period), start, period)) AS best
     FROM runs GROUP BY r
 )
-SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
-    1000 * best.length // best.period AS exponent_milli, sha256(coalesce(all_runs, '')) AS runs_sha256,
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS DOUBLE) AS start, CAST(best.length AS DOUBLE) AS length,
+    CAST(best.period AS DOUBLE) AS period, CAST(1000 * best.length // best.period AS DOUBLE) AS exponent_milli, sha256(coalesce(all_runs, '')) AS runs_sha256,
     sha256(coalesce(text, '')) AS collapsed_sha256
 FROM split LEFT JOIN listed USING (r) LEFT JOIN collapsed USING (r)
 """
