@@ -24,7 +24,8 @@ def _small_batches(df: DataFrame) -> None:
     A batch is held whole on both sides of the pipe, in every running task.
     """
     conf = df.sparkSession.conf
-    held = int(re.match(r"-?\d+", conf.get(_SETTING)).group())
+    number, unit = re.match(r"(-?\d+)\s*([kmgt]?)", conf.get(_SETTING).strip().lower()).groups()
+    held = int(number) << 10 * " kmgt".index(unit or " ")
     if not 0 < held <= BATCH_BYTES:
         conf.set(_SETTING, str(BATCH_BYTES))
 
