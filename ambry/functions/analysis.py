@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambry.functions.stem import stem
+from ambry.functions.stem import stem, stem_word
 from ambry.functions.text import tokens
 
 # The stop list of the published Portuguese analyser, its function words
@@ -47,6 +47,11 @@ class Analyser:
         kept = words.where(~F.col("word").isin(list(self.stop))) if self.stop else words
         return stem(kept, "word", "lexeme") if self.stems else kept.select("word", F.col("word").alias("lexeme"))
 
+    def lexemes(self, words: Sequence[str]) -> list[str | None]:
+        """What ``vocabulary`` says of a few distinct words, where a task has them at hand; None for stop words."""
+        left_out = frozenset(self.stop)
+        return [None if w in left_out else stem_word(w) if self.stems else w for w in words]
+
     def of_texts(self, spark: SparkSession, texts: Sequence[str]) -> list[list[tuple[str, int]]]:
         """(lexeme, place) of the words of a few short texts; a stop word keeps its place empty."""
         if not texts:

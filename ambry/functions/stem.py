@@ -3,10 +3,13 @@
 The words reach the stemmer without accents, so of the published suffixes only
 the plain spellings can ever match; those are the ones listed. Each step is a
 few generated regular expressions over a column of *distinct* words.
+``stem_word`` does the same to one word, for tasks that hold a passage's words already.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,3 +118,88 @@ def stem(words: DataFrame, word: str = "word", out: str = "stem") -> DataFrame:
         s.endswith("e") & (size - 1 >= rv), F.when(soft, F.left(s, size - 2)).otherwise(bare)
     ).otherwise(s)
     return df.withColumn(out, last).drop("_r1", "_r2", "_rv", "_e", "_s1", "_s2", "_s4")
+
+
+def _suffixes(*groups: list[str]) -> dict[int, frozenset[str]]:
+    """Suffixes by length, the longest first."""
+    every = [x for group in groups for x in group]
+    return {n: frozenset(x for x in every if len(x) == n) for n in sorted({len(x) for x in every}, reverse=True)}
+
+
+_STEP1 = _suffixes(STANDARD, LOGIC, [ADVERB_A, ADVERB], STATE, ACTIVE, AGENT)
+_STEP2, _STEP4 = _suffixes(VERB), _suffixes(["os", "a", "i", "o"])
+_AFTER_A, _AFTER_IV, _AFTER_MENTE = _suffixes(["iv", "os", "ic", "ad"]), _suffixes(["at"]), _suffixes(["ante"])
+_AFTER_STATE, _AFTER_ACTIVE = _suffixes(["abil", "ic", "iv"]), _suffixes(["at"])
+_REGION = re.compile("[^aeiou]*[aeiou]+[^aeiou]")
+_TO_VOWEL, _TO_CONSONANT = re.compile("..[^aeiou]*[aeiou]"), re.compile("..[aeiou]*[^aeiou]")
+_STANDARD, _LOGIC, _STATE, _ACTIVE, _AGENT = map(frozenset, (STANDARD, LOGIC, STATE, ACTIVE, AGENT))
+
+
+def _longest(word: str, suffixes: dict[int, frozenset[str]]) -> str:
+    for n, held in suffixes.items():
+        if word[-n:] in held:
+            return word[-n:]
+    return ""
+
+
+def _less(base: str, suffixes: dict[int, frozenset[str]], region: int) -> str:
+    """Without one more ending, if that lies in the region."""
+    more = _longest(base, suffixes)
+    return base[: len(base) - len(more)] if len(base) - len(more) >= region else base
+
+
+def stem_word(w: str) -> str:
+    """The stem of one folded word; the same steps as ``stem``."""
+    n = len(w)
+
+    def offset(pattern: re.Pattern, text: str) -> int | None:
+        hit = pattern.match(text)
+        return hit.end() if hit else None
+
+    if w[1:2] not in {"a", "e", "i", "o", "u"}:
+        opening = offset(_TO_VOWEL, w)
+    elif w[0] in "aeiou":
+        opening = offset(_TO_CONSONANT, w)
+    else:
+        opening = 3 if n >= 3 else None
+    rv = n if opening is None else opening
+    first = offset(_REGION, w)
+    r1 = n if first is None else first
+    second = offset(_REGION, w[r1:])
+    r2 = n if second is None else r1 + second
+
+    e = _longest(w, _STEP1)
+    cut, at = w[: n - len(e)], n - len(e)
+    s: str | None = None
+    if not e:
+        pass
+    elif e in _STANDARD and at >= r2:
+        s = cut
+    elif e in _LOGIC and at >= r2:
+        s = cut + "log"
+    elif e == ADVERB_A and at >= r1:
+        s = _less(cut, _AFTER_A, r2)
+        if _longest(cut, _AFTER_A) == "iv" and s != cut:
+            s = _less(s, _AFTER_IV, r2)
+    elif e == ADVERB and at >= r2:
+        s = _less(cut, _AFTER_MENTE, r2)
+    elif e in _STATE and at >= r2:
+        s = _less(cut, _AFTER_STATE, r2)
+    elif e in _ACTIVE and at >= r2:
+        s = _less(cut, _AFTER_ACTIVE, r2)
+    elif e in _AGENT and at >= rv and cut.endswith("e"):
+        s = cut + "ir"
+    if s is None:
+        verb = _longest(w[rv:], _STEP2)
+        if verb:
+            s = w[: n - len(verb)]
+    if s is None:
+        rest = _longest(w, _STEP4)
+        s = w[: n - len(rest)] if n - len(rest) >= rv else w
+    elif s.endswith("ci") and len(s) - 1 >= rv:
+        s = s[:-1]
+    size = len(s)
+    if s.endswith("e") and size - 1 >= rv:
+        soft = s[:-1].endswith(("gu", "ci")) and size - 2 >= rv
+        s = s[:-2] if soft else s[:-1]
+    return s

@@ -1,9 +1,11 @@
 """The stored text index: built once, refreshed by what changed, read by every search.
 
-Postings hold the places of a lexeme in a passage, sorted by lexeme, so a
-search reads the row groups of its own lexemes. Titles are indexed the same
-way. A passage's length and hash, the frequencies of lexemes and two totals
-lie beside them. All tables of a version are replaced together.
+A passage is one row with its length, hash and terms: each lexeme and its
+places. Texts are analysed once, for that row; all else is made from what was
+written. Postings are the terms sorted by lexeme, so a search reads the row
+groups of its own lexemes, while many queries at once read the passages. Titles
+are indexed the same way. The frequencies of lexemes and two totals lie beside
+them. All tables of a version are replaced together.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from pyspark.sql import functions as F
 from ambry.functions.analysis import Analyser
 from ambry.functions.text import tokens
 from ambry.operators import index
+from ambry.operators.postings import analysed, inverted, placed
 from ambry.operators.retrieval import PASSAGE_KEY
-from ambry.session import cut
+from ambry.session import cut, scratch_path
 from ambry.sources.versions import Versions
 
 TABLES = ("postings", "titles", "passages", "frequencies", "totals")
@@ -28,7 +31,7 @@ class TextIndex:
     """The tables of one version.
 
     ``postings`` and ``titles`` are (lexeme, doc_id, chunk_index, length, steps), ``passages`` is (doc_id,
-    chunk_index, length, content_hash), ``frequencies`` (lexeme, passages), ``totals`` one row (passages, mean).
+    chunk_index, content_hash, length, terms), ``frequencies`` (lexeme, passages), ``totals`` one row (passages, mean).
     """
 
     postings: DataFrame
@@ -49,30 +52,12 @@ def places(step_list: Column) -> Column:
     return F.coalesce(summed, F.array().cast("array<int>"))
 
 
-def postings(texts: DataFrame, analyser: Analyser) -> DataFrame:
-    """(lexeme, doc_id, chunk_index, length, steps) of passages with ``tokens``.
-
-    A place counts all tokens, stop words too, and so does the length. Only
-    distinct words are analysed; the vocabulary meets the text in a join whose
-    frequent words adaptive execution splits.
-    """
-    spoken = texts.select(*PASSAGE_KEY, F.size("tokens").alias("length"), F.posexplode("tokens").alias("place", "word"))
-    if analyser.stop:
-        spoken = spoken.where(~F.col("word").isin(list(analyser.stop)))
-    if analyser.stems:
-        spoken = spoken.join(analyser.vocabulary(spoken.select("word").distinct()), "word")
-    else:
-        spoken = spoken.withColumnRenamed("word", "lexeme")
-    held = spoken.groupBy("lexeme", *PASSAGE_KEY, "length").agg(F.sort_array(F.collect_list("place")).alias("_at"))
-    return held.select("lexeme", *PASSAGE_KEY, "length", steps(F.col("_at")).alias("steps"))
+def _hash() -> Column:
+    return index.passage_hash(F.col("doc_id"), F.col("chunk_index"), F.col("content")).alias("content_hash")
 
 
-def _passages(docs: DataFrame) -> DataFrame:
-    found = index.chunk(docs, with_tokens=True)
-    return found.select(
-        *PASSAGE_KEY, "tokens", F.size("tokens").alias("length"),
-        index.passage_hash(F.col("doc_id"), F.col("chunk_index"), F.col("content")).alias("content_hash"),
-    )
+def _passages(docs: DataFrame, *keep: str) -> DataFrame:
+    return index.chunk(docs, *keep, with_tokens=True).select(*PASSAGE_KEY, *keep, "tokens", _hash())
 
 
 def _sorted(table: DataFrame) -> DataFrame:
@@ -80,23 +65,22 @@ def _sorted(table: DataFrame) -> DataFrame:
     return table.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def _publish(store: Versions, docs: DataFrame, analyser: Analyser, held: DataFrame, rows: DataFrame) -> int:
+def _publish(store: Versions, docs: DataFrame, analyser: Analyser, rows: DataFrame) -> int:
     headed = docs.select("doc_id", F.lit(0).alias("chunk_index"), tokens(F.coalesce("title", F.lit(""))).alias("tokens"))
     return store.publish({
-        "postings": _sorted(held.select("lexeme", *PASSAGE_KEY, "length", "steps")),
-        "titles": _sorted(postings(headed, analyser)),
         "passages": rows,
-        "frequencies": held.groupBy("lexeme").agg(F.count(F.lit(1)).alias("passages")).repartitionByRange("lexeme").sortWithinPartitions("lexeme"),
-        "totals": rows.agg(F.count(F.lit(1)).alias("passages"), F.avg("length").alias("mean")),
+        "titles": _sorted(placed(headed, analyser)),
+        # from what was written: a range sort reads its input twice
+        "postings": lambda written: _sorted(inverted(written["passages"])),
+        "frequencies": lambda written: written["postings"].groupBy("lexeme").agg(F.count(F.lit(1)).alias("passages"))
+        .repartitionByRange("lexeme").sortWithinPartitions("lexeme"),
+        "totals": lambda written: written["passages"].agg(F.count(F.lit(1)).alias("passages"), F.avg("length").alias("mean")),
     })
 
 
 def build(store: Versions, docs: DataFrame, analyser: Analyser) -> int:
     """Indexes ``docs`` (doc_id, title, text) as a new version, whose number is returned."""
-    found = _passages(docs)
-    return _publish(
-        store, docs, analyser, postings(found, analyser), found.select(*PASSAGE_KEY, "length", "content_hash")
-    )
+    return _publish(store, docs, analyser, analysed(_passages(docs), analyser, "content_hash"))
 
 
 def open_index(store: Versions) -> TextIndex:
@@ -117,13 +101,16 @@ def differences(old: DataFrame, fresh: DataFrame) -> DataFrame:
 def refresh(store: Versions, docs: DataFrame, analyser: Analyser) -> int:
     """A version with the passages of ``docs`` as they are now.
 
-    Only passages that are new or changed are analysed; postings of those that
+    Only passages that are new or changed are analysed; the rows of those that
     changed or went are left out, and all others are kept as they are.
     """
     old = open_index(store)
-    found = _passages(docs)
-    touched = cut(differences(old.passages, found))
-    again = found.join(touched.where("state <> 'gone'").select(*PASSAGE_KEY), [*PASSAGE_KEY], "left_semi")
-    stale = touched.where("state <> 'new'").select(*PASSAGE_KEY)
-    held = old.postings.join(stale, [*PASSAGE_KEY], "left_anti").unionByName(postings(again, analyser))
-    return _publish(store, docs, analyser, held, found.select(*PASSAGE_KEY, "length", "content_hash"))
+    touched = cut(differences(old.passages, index.chunk(docs).select(*PASSAGE_KEY, _hash())))
+    # a document meets the numbers of its passages before it is split: no tokens are shuffled
+    numbers = touched.where("state <> 'gone'").groupBy("doc_id").agg(F.collect_set("chunk_index").alias("_again"))
+    again = _passages(docs.join(numbers, "doc_id"), "_again").where("array_contains(_again, chunk_index)")
+    # written, so that the join below knows how few they are and need not shuffle all passages
+    path = scratch_path(store.spark, "stale")
+    touched.where("state <> 'new'").select(*PASSAGE_KEY).write.parquet(path)
+    kept = old.passages.join(store.spark.read.parquet(path), [*PASSAGE_KEY], "left_anti")
+    return _publish(store, docs, analyser, kept.unionByName(analysed(again, analyser, "content_hash")))

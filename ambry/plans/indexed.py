@@ -84,7 +84,7 @@ def r17_index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = Versions(spark, scratch_path(spark, "text-index"))
     textindex.build(held, earlier, PORTUGUESE)
     textindex.refresh(held, docs, PORTUGUESE)
-    last = F.element_at(textindex.places(F.col("steps")), -1)
+    last = F.aggregate("steps", F.lit(0), lambda a, x: a + x)  # the steps add up to the last place
     return textindex.open_index(held).postings.groupBy("lexeme").agg(
         F.count(F.lit(1)).alias("postings"), F.sum(F.size("steps")).alias("words"),
         F.sum(last * (F.col("doc_id") + F.col("chunk_index") + 1)).alias("mark"),

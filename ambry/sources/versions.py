@@ -37,18 +37,23 @@ class Versions:
         return self.manifest().orderBy(F.desc("version"), F.desc("folder")).first()
 
     def publish(
-        self, tables: Mapping[str, DataFrame], check: Callable[[dict[str, DataFrame]], None] | None = None
+        self, tables: Mapping[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]],
+        check: Callable[[dict[str, DataFrame]], None] | None = None,
     ) -> int:
         """Writes ``tables`` as the next version and returns its number.
 
+        A table may be a function of those written before it, so that it is made from what lies there.
         ``check`` gets the tables as they were written and refuses them by
         raising: the version is then never named, and readers keep the old one.
         """
         folder = f"{self.root}/data-{uuid.uuid4().hex}"
+        written: dict[str, DataFrame] = {}
         for name, table in tables.items():
-            table.write.mode("errorifexists").parquet(f"{folder}/{name}")
+            made = table(written) if callable(table) else table
+            made.write.mode("errorifexists").parquet(f"{folder}/{name}")
+            written[name] = self.spark.read.parquet(f"{folder}/{name}")
         if check is not None:
-            check({name: self.spark.read.parquet(f"{folder}/{name}") for name in tables})
+            check(written)
         last = self.current()
         version = (last.version if last else 0) + 1
         row = self.spark.createDataFrame([(version, folder, list(tables))], "version long, folder string, tables array<string>")
