@@ -70,7 +70,7 @@ def f18_date_from_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1600000000 + F.col("o_orderkey") * 86400).alias("epoch"),
     )
     found = V.date_from_texts(F.col("title"), F.col("description"), F.col("epoch"))
-    return rows.select("item_id", found.cast("string").alias("date"))
+    return rows.select("item_id", V.day_text(found).alias("date"))
 
 
 @query("f28_lenient_key", f"""
