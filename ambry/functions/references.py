@@ -132,12 +132,13 @@ def mentions(texts: DataFrame, catalogue: Catalogue) -> DataFrame:
     spellings = catalogue.spellings(texts.sparkSession).withColumn("begins", F.get(_pieces(F.col("spelling")), F.lit(0)))
     # how long the spellings are that begin with a word: only there is a stretch of a text looked at
     openings = spellings.groupBy("begins").agg(F.collect_set("n_pieces").alias("sizes"))
-    read = with_numerals(texts.where("text IS NOT NULL").distinct(), "text", "hay").withColumn("p", _pieces(F.col("hay")))
+    read = with_numerals(texts.distinct(), "text", "hay").withColumn("p", _pieces(F.col("hay")))
     begins = F.filter(
         F.transform("p", lambda x, i: F.struct(i.alias("at"), x.alias("piece"))),
         lambda s: _is_word(s["piece"]) & ~F.coalesce(_is_word(F.get("p", s["at"] - 1)), F.lit(False)),
     )
-    starts = read.where("size(p) > 0").select("text", "p", F.explode(begins).alias("s")).select("text", "p", "s.at", "s.piece")
+    # outer, since a test for emptiness would be pushed below the distinct and take every row apart
+    starts = read.select("text", "p", F.explode_outer(begins).alias("s")).select("text", "p", "s.at", "s.piece")
     known = starts.join(openings, F.col("piece") == F.col("begins"))
     widths = F.filter("sizes", lambda n: F.col("at") + n <= F.size("p"))
     stretches = known.select("text", "p", "at", F.explode(widths).alias("n")).select(
@@ -164,9 +165,12 @@ def find_work(
     """
     if found is None:
         found = mentions(df.select(F.col(text).alias("text")), catalogue)
-    renamed = found.select(
-        F.col("text").alias("_text"), *[F.col(c).alias(f"{prefix}{c}") for c in ("work", "limit", "rest")]
-    )
+    return _with_found(df, text, found, prefix)
+
+
+def _with_found(df: DataFrame, text: str, found: DataFrame, prefix: str) -> DataFrame:
+    """Adds the columns of ``found``, prefixed, which has at most one row for a text."""
+    renamed = found.select(*[F.col(c).alias("_text" if c == "text" else f"{prefix}{c}") for c in found.columns])
     return df.join(renamed, F.col(text) == F.col("_text"), "left").drop("_text")
 
 
@@ -206,38 +210,46 @@ def _numbers(rest: Column) -> Column:
     return F.aggregate(tokens, F.struct(F.lit("start").alias("state"), none.alias("found")), step, lambda s: s["found"])
 
 
-def parse_reference(
-    df: DataFrame, text: str, catalogue: Catalogue, prefix: str = "ref_", found: DataFrame | None = None
-) -> DataFrame:
-    """Adds work, chapter_start, chapter_end, verse_start and verse_end, prefixed.
+def readings(found: DataFrame) -> DataFrame:
+    """(text, work, chapter_start, chapter_end, verse_start, verse_end) of ``mentions``, one row per text.
 
     A chapter outside its work leaves the work alone; a chapter range running
     backwards or beyond the work shrinks to its first chapter; numbers listed
     after a comma or 'e' extend the verses.
     """
-    p = prefix
-    df = find_work(df, text, catalogue, p, found).withColumn(f"{p}read", _numbers(F.coalesce(f"{p}rest", F.lit(""))))
+    # a generated column is made once; a projected one would be copied into each of its uses
+    rows = found.select("text", "work", "limit", F.explode(F.array(_numbers(F.col("rest")))).alias("read"))
 
     def said(state: str, place: int = 0) -> Column:
-        mine = F.transform(F.filter(f"{p}read", lambda r: r["state"] == state), lambda r: r["number"])
+        mine = F.transform(F.filter("read", lambda r: r["state"] == state), lambda r: r["number"])
         return F.try_element_at(mine, F.lit(-1)) if place < 0 else F.get(mine, F.lit(place))
 
-    df = df.withColumns({f"{p}{s}": said(s) for s in ("chapter", "verse", "to", "to_verse")}).withColumns(
-        {f"{p}first_more": said("more"), f"{p}last_more": said("more", -1)}
-    )
-    chapter, verse, to, to_verse = (F.col(f"{p}{n}") for n in ("chapter", "verse", "to", "to_verse"))
-    limit = F.col(f"{p}limit")
+    numbers = {s: said(s) for s in ("chapter", "verse", "to", "to_verse")} | {"more": said("more"), "last_more": said("more", -1)}
+    told = F.explode(F.array(F.struct(*[c.alias(n) for n, c in numbers.items()]))).alias("n")
+    rows = rows.select("text", "work", "limit", told).select("text", "work", "limit", "n.*")
+    chapter, verse, to, to_verse, limit = (F.col(n) for n in ("chapter", "verse", "to", "to_verse", "limit"))
     inside = chapter.between(1, limit)
     # the number after a dash is a chapter if it has a verse of its own, or if nothing before it has
     end = F.when(to.isNotNull() & (to_verse.isNotNull() | verse.isNull()), to).otherwise(chapter)
     last = F.coalesce(to_verse, F.when(verse.isNotNull(), F.coalesce(to, verse)))
-    spare = ("rest", "limit", "read", "chapter", "verse", "to", "to_verse", "first_more", "last_more")
-    return df.withColumns({
-        f"{p}chapter_start": F.when(inside, chapter),
-        f"{p}chapter_end": F.when(inside, F.when((end < chapter) | (end > limit), chapter).otherwise(end)),
-        f"{p}verse_start": F.when(inside, F.coalesce(verse, f"{p}first_more")),
-        f"{p}verse_end": F.when(inside, F.coalesce(f"{p}last_more", last)),
-    }).drop(*[f"{p}{n}" for n in spare])
+    return rows.select(
+        "text", "work", F.when(inside, chapter).alias("chapter_start"),
+        F.when(inside, F.when((end < chapter) | (end > limit), chapter).otherwise(end)).alias("chapter_end"),
+        F.when(inside, F.coalesce(verse, "more")).alias("verse_start"),
+        F.when(inside, F.coalesce("last_more", last)).alias("verse_end"),
+    )
+
+
+def parse_reference(
+    df: DataFrame, text: str, catalogue: Catalogue, prefix: str = "ref_", found: DataFrame | None = None
+) -> DataFrame:
+    """Adds work, chapter_start, chapter_end, verse_start and verse_end, prefixed, by the rules of ``readings``.
+
+    A text is read once, however many rows bear it.
+    """
+    if found is None:
+        found = mentions(df.select(F.col(text).alias("text")), catalogue)
+    return _with_found(df, text, readings(found), prefix)
 
 
 def expand_chapters(refs: DataFrame) -> DataFrame:

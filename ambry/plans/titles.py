@@ -29,13 +29,16 @@ def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = tables.load(spark, sf_dir, "part").select("p_partkey", "p_name")
     orders = tables.load(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd-MM-yyyy").alias("day"))
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    k, amount, n = F.col("l_linenumber") % 5, F.col("qty").cast("string"), F.col("p_name")
+    k = F.col("l_linenumber") % 5
+    # never null, so that no row is asked for it; plain concatenation, as formats are parsed for every row
+    amount, n, day, line = (F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("qty", "p_name", "day", "l_linenumber"))
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     title = (
-        F.when(k == 0, F.format_string("%s - EBD - %s course - Aula %s", "day", n, amount))
-        .when(k == 1, F.format_string("%s - %s %s.5-7", "day", n, amount))
-        .when(k == 2, F.concat(F.lit("IV Congresso Alfa - "), F.replace("day", F.lit("-"), F.lit("/")), F.lit(" - "), n, F.lit(" "), amount, F.lit(" (pt 2)")))
-        .when(k == 3, F.format_string("%s - CFW 0%s - tema", "day", F.col("l_linenumber").cast("string")))
-        .otherwise(F.format_string("%s - EBD - %s %s, 12 e 14", "day", F.upper(n), amount))
+        F.when(k == 0, join(day, " - EBD - ", n, " course - Aula ", amount))
+        .when(k == 1, join(day, " - ", n, " ", amount, ".5-7"))
+        .when(k == 2, join("IV Congresso Alfa - ", F.replace(day, F.lit("-"), F.lit("/")), " - ", n, " ", amount, " (pt 2)"))
+        .when(k == 3, join(day, " - CFW 0", line, " - tema"))
+        .otherwise(join(day, " - EBD - ", F.upper(n), " ", amount, ", 12 e 14"))
     )
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", title.alias("title"))
 

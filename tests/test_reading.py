@@ -35,6 +35,23 @@ def test_reference_grammar(frame):
     ]
 
 
+def optimised(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_references_are_read_once_a_text(frame):
+    rows = frame([(1, "João 3.16"), (2, "João 3.16"), (3, None), (4, "")], "i int, t string")
+    read = parse_reference(rows, "t", BOOKS)
+    got = {r.i: (r.ref_work, r.ref_chapter_start, r.ref_verse_end) for r in read.collect()}
+    assert got == {1: ("joao", 3, 16), 2: ("joao", 3, 16), 3: (None,) * 3, 4: (None,) * 3}
+    lines = [line.strip(" :+-") for line in optimised(read).split("\n")]
+    join, rows_end = (next(i for i, line in enumerate(lines) if line.startswith(w)) for w in ("Join LeftOuter", "LogicalRDD"))
+    # numbers are read beside the distinct texts, not after each row has met its text
+    assert join < rows_end < next(i for i, line in enumerate(lines) if "aggregate(" in line)
+    # and no text is taken apart before they are distinct
+    assert not [line for line in lines if line.startswith("Filter") and "isnotnull(t#" in line and "regexp" in line]
+
+
 def test_title_grammar(frame):
     rows = frame(
         [
