@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ERROR, WARNING = "error", "warning"
+#: rows of one table that a task sorts or groups; nearly every key is another one, so a task holds them all
+ROWS_A_TASK = 1_500_000
 
 
 def _problem(rows: DataFrame, severity: str, rule: str, key: Column) -> DataFrame:
@@ -31,8 +34,12 @@ def problems(
 
     docs (doc_id), facets (doc_id, raw_slug), refs (doc_id, work, chapter),
     works (work, chapters), collections (slug, parent_slug), variants
-    (variant_slug, slug).
+    (variant_slug, slug). Documents, facets and references are dealt by
+    document once, to as many tasks as their rows need.
     """
+    docs, facets, refs = docs.select("doc_id"), facets.select("doc_id", "raw_slug"), refs.select("doc_id", "work", "chapter")
+    tasks = max(1, ceil(max(rows.count() for rows in (docs, facets, refs)) / ROWS_A_TASK))
+    docs, facets, refs = (rows.repartition(tasks, "doc_id") for rows in (docs, facets, refs))
     found = [
         _problem(
             collections.where("parent_slug <> '' AND parent_slug <> slug").join(
